@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpath.llm import bpe, linefreq, mixing, rules
+from signpath.llm import bpe, jaccard, linefreq, mixing, rules
 from signpath.llm.shared import stored, table
 
 
@@ -18,6 +18,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linefreq.drop_boilerplate(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.representatives(docs)
+
+
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them."""
     return mixing.realised(docs)
@@ -28,7 +33,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_frequency", lines), ("source_mixing", sources), ("bpe_encoding", encode)]
+STAGES = [("quality_rules", quality), ("line_frequency", lines), ("near_duplicates", near_duplicates), ("source_mixing", sources), ("bpe_encoding", encode)]
 
 #: SQL can express neither an isolation forest nor a BPE vocabulary.
 ORACLE_SQL = None

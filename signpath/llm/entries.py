@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, linefreq, mixing, rules, subword, toxicity
+from . import bpe, chat, jaccard, langid, lattice, linefreq, mixing, rules, subword, toxicity
 from .shared import table
 
 
@@ -27,6 +27,10 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,10 @@ def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(chat.sample_conversation(spark, turns)))
@@ -51,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": linefreq.oracle(), "op4_temperature_mixing": mixing.oracle(), "op9_chat_format": chat.oracle()}
+    return {"op2_line_frequency": linefreq.oracle(), "op4_temperature_mixing": mixing.oracle(), "op5_grouped_prefix_join": jaccard.oracle(), "op9_chat_format": chat.oracle()}
