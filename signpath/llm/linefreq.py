@@ -68,7 +68,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         joined = pages.join(F.broadcast(lists), F.col(host).eqNullSafe(F.col("lf__h")), "left")
     else:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in pages.columns if not pages.schema[c].dataType.simpleString().startswith("map")]), F.lit(p.salts))
-        spread = lists.withColumn("lf__s", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).cast("long"))
+        spread = lists.withColumn("lf__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long"))))
         joined = pages.withColumn("lf__r", salt).join(spread, F.col(host).eqNullSafe(F.col("lf__h")) & (F.col("lf__r") == F.col("lf__s")), "left").drop("lf__r", "lf__s")
     split = F.split(text, "\n")
     kept = F.filter(split, lambda x: ~F.array_contains("lf__drop", _bare(x)))
