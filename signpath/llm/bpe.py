@@ -11,7 +11,7 @@ without white space longer than ``segment`` are joined by the same tree inside a
 
 Texts and stretches of at most ``segment`` characters are leaves. With a vocabulary that drops white space,
 as ``word_bpe_49k.json`` does, no token depends on anything beyond its stretch of non-white characters, so that
-leaves are encoded stretch by stretch with a bounded memory of recent ones.
+leaves are encoded stretch by stretch, each distinct one once a batch, with a bounded memory of recent ones.
 
 Defined cases: null and empty texts, and those of white space alone, have no tokens: the digests are those of the empty
 string. Strings of special tokens inside a text become those tokens, as in the library. Repeated rows are encoded each
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .arrowmap import arrow_map
 from .shared import stored
 
@@ -51,7 +52,7 @@ class Params:
 
     vocabulary: str = ""
     segment: int = 32768
-    memory: int = 250_000
+    memory: int = 600_000
 
 
 @dataclass
@@ -82,8 +83,9 @@ class Encoder:
             told = json.load(f)
         #: Whether white space only divides: its tokens are dropped and decoding puts blanks between tokens.
         self.divides = told.get("decoder") is None and "\\s\\p{L}\\p{N}" in json.dumps(told.get("pre_tokenizer")).replace("\\\\", "\\") and '"Removed"' in json.dumps(told.get("pre_tokenizer"))
-        self.ids_of: dict[bytes, str] = {}
-        self.text_of: dict[bytes, str] = {}
+        #: Stretch hash to (identifiers, decoded text); the older half goes first when full.
+        self.young: dict[int, tuple[str, str]] = {}
+        self.old: dict[int, tuple[str, str]] = {}
 
     def library(self, text: str) -> Encoded:
         e = self.tok.encode(text, add_special_tokens=False)
@@ -128,34 +130,72 @@ class Encoder:
                 return Encoded(pick("ids"), pick("starts"), pick("ends"))
             width *= 2
 
-    def remember(self, words: set[bytes]) -> None:
-        if len(self.ids_of) + len(words) > self.p.memory:
-            self.ids_of.clear()
-            self.text_of.clear()
-            self._all = words
-        new = [w for w in words if w not in self.ids_of]
-        long = [w for w in new if len(w) > self.p.segment]
-        short = [w for w in new if len(w) <= self.p.segment]
-        texts = [w.decode("utf-8", "replace") for w in short]
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] + [self.tree(w.decode("utf-8", "replace")).ids.tolist() for w in long]
-        for w, ids, out in zip(short + long, found, self.tok.decode_batch(found, skip_special_tokens=False), strict=True):
-            self.ids_of[w] = " ".join(map(str, ids))
-            self.text_of[w] = out
-
-    def told(self, text: bytes) -> tuple[str, str]:
-        """Identifiers joined by blanks, and the decoded text, of a leaf."""
+    def stretches(self, words: list[str]) -> list[list[int]]:
+        """Identifiers of each of many stretches without white space, from one call on all of them."""
+        text, sizes = " ".join(words), np.array([len(w) + 1 for w in words], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        e = self.tok.encode(text, add_special_tokens=False)
+        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+        owner = np.searchsorted(begin, spans[:, 0], side="right") - 1
+        if (owner != np.searchsorted(begin, spans[:, 1] - 1, side="right") - 1).any() or (np.diff(owner) < 0).any():
+            return [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]
+        ids, ends = e.ids, np.searchsorted(owner, np.arange(len(words) + 1))
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def known(self, hashes: list[int], words) -> list[tuple[str, str]]:
+        """(identifiers, decoded text) of stretches; ``words(i)`` gives the bytes of the i-th."""
+        young, old, missing = self.young, self.old, []
+        for i, h in enumerate(hashes):
+            if h not in young:
+                if h in old:
+                    young[h] = old[h]
+                else:
+                    missing.append(i)
+        for lo in range(0, len(missing), 8192):
+            some = missing[lo : lo + 8192]
+            texts = [words(i).decode("utf-8", "replace") for i in some]
+            long = [len(x) > self.p.segment for x in texts]
+            found = iter(self.stretches([x for x, y in zip(texts, long, strict=True) if not y]))
+            ids = [self.tree(x).ids.tolist() if y else next(found) for x, y in zip(texts, long, strict=True)]
+            for i, own, out in zip(some, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
+                young[hashes[i]] = (" ".join(map(str, own)), out)
+        got = [young[h] for h in hashes]
+        if len(young) > self.p.memory // 2:
+            self.old, self.young = young, {}
+        return got
+
+    def told(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
+        """Identifiers joined by blanks, and the decoded text, of each leaf.
+
+        Stretches are found and hashed in numpy over all leaves, so that Python handles each distinct one once a batch.
+        """
         if not self.divides:
-            ids = self.tree(text.decode()).ids.tolist()
-            return " ".join(map(str, ids)), self.decode(ids)
-        words = text.split()
-        own = set(words)
-        self.remember(own)
-        ids = [self.ids_of[w] for w in words]
-        out = [self.text_of[w] for w in words]
-        if not all(ids):
-            out = [y for x, y in zip(ids, out, strict=True) if x]
-            ids = [x for x in ids if x]
-        return " ".join(ids), " ".join(out)
+            out = []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                ids = self.tree(data[a:b].tobytes().decode()).ids.tolist()
+                out.append((" ".join(map(str, ids)), self.decode(ids)))
+            return out
+        hashes, starts, ends = [], [], []
+        for lo, hi in K.groups(offsets):
+            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            a, b = K.spans(part, at)
+            hashes.append(K.Running(part).span(a, b))
+            starts.append(a + offsets[lo])
+            ends.append(b + offsets[lo])
+        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        hashes, starts, ends = join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        got = self.known(distinct.tolist(), lambda i: raw[starts[first[i]] : ends[first[i]]])
+        ids, texts = np.empty(len(got), object), np.empty(len(got), object)
+        ids[:], texts[:] = [x[0] for x in got], [x[1] for x in got]
+        blank = ids == ""
+        if blank.any():  # stretches without tokens leave no blank behind
+            full = ~blank[place]
+            place, starts = place[full], starts[full]
+        at = np.searchsorted(starts, offsets).tolist()
+        ids, texts = ids[place].tolist(), texts[place].tolist()
+        return [(" ".join(ids[a:b]), " ".join(texts[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _agreed(one: Encoded, two: Encoded, least: int | None, most: int | None) -> tuple[int, int] | None:
@@ -228,7 +268,7 @@ def digests(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def leaves(batch: pa.RecordBatch) -> dict:
         e = encoder(p)
-        got = [_digest(*e.told(x or b"")) for x in batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+        got = [_digest(*x) for x in e.told(*K.column(batch.column("text")))]
         return dict(zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), [batch.column("doc_id"), *([list(x) for x in zip(*got, strict=True)] or [[], [], []])], strict=True))
 
     def finish(key, rows):
