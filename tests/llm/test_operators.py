@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signpath.llm import bpe, chat, components, jaccard, langid, lattice, linefreq, mixing, rules, subword, toxicity
 
@@ -293,3 +294,29 @@ def test_pipeline_stages_keep_columns(spark, corpus, labels, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 20
+
+
+def test_bitmaps_drop_no_similar_pair(spark):
+    """Pairs of texts with 0 to 12 changed words: all similar ones pass the bitmaps, the very different ones don't."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, int(rng.integers(6, 300)))]
+        other = list(words)
+        for at in rng.integers(0, len(words), int(rng.integers(0, 13))):
+            other[at] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    p = jaccard.Params()
+    made = jaccard.sketched(spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(0, np.uint64), p)
+    names = ["n", *[f"bits{k}" for k in range(jaccard.BITS)]]
+    a, b = (made.where(f"doc_id % 2 = {k}").selectExpr("doc_id div 2 AS i", *[f"{c} AS {c}_{k}" for c in names]) for k in (0, 1))
+    fit = jaccard._bitmaps_fit(F.col("n_0"), F.col("n_1"), [(F.col(f"{c}_0"), F.col(f"{c}_1")) for c in names[1:]], p.percent)
+    passed = {r["i"] for r in a.join(b, "i").where(fit).select("i").collect()}
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    share = [len(x & y) / len(x | y) for x, y in ((shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) for i in range(200))]
+    assert {i for i in range(200) if share[i] >= 0.8} <= passed
+    assert sum(s >= 0.8 for s in share) > 20 and len(passed) < 190
