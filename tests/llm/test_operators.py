@@ -320,3 +320,26 @@ def test_bitmaps_drop_no_similar_pair(spark):
     share = [len(x & y) / len(x | y) for x, y in ((shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) for i in range(200))]
     assert {i for i in range(200) if share[i] >= 0.8} <= passed
     assert sum(s >= 0.8 for s in share) > 20 and len(passed) < 190
+
+
+def test_prefix_join_tries_every_member_of_a_group(spark):
+    """Star families of short texts: leaves with a changed word are similar to their centre only, which may be any member of its group."""
+    rng = random.Random(9)
+    texts = []
+    for f in range(150):
+        centre = [f"f{f}w{k}" for k in range(24)]
+        texts += [centre, *([*centre[:at], f"f{f}x{at}", *centre[at + 1 :]] for at in (0, 1, 22, 23))]
+    rng.shuffle(texts)
+    sets = [shingles(" ".join(t)) for t in texts]
+    family = {}
+    for i, t in enumerate(texts):
+        family.setdefault(t[10], []).append(i)
+    least = list(range(len(texts)))
+    for ids in family.values():
+        for _ in ids:
+            for a in ids:
+                for b in ids:
+                    if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(least))
