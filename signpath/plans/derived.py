@@ -27,14 +27,15 @@ def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(succession(events, "user_id", ["ts", "event_id"], F.col("event_type") != "error"), "graph")
 
 
-def near(edges: DataFrame) -> DataFrame:
-    """For one edge in twenty, whether its ends are joined by a path of the other sign."""
-    some = edges.where("(src * 7 + dst) % 20 = 1").select(F.col("src").alias("s"), F.col("dst").alias("t"), (1 - F.col("sgn")).cast("int").alias("sigma"))
+def near(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """For one edge in twenty, or every edge, whether its ends are joined by a path of the other sign."""
+    some = (edges if whole else edges.where("(src * 7 + dst) % 20 = 1")).select(F.col("src").alias("s"), F.col("dst").alias("t"), (1 - F.col("sgn")).cast("int").alias("sigma"))
     return stored(numbered(some, "s", "t", "sigma").select("qid", "s", "t", "sigma"), "workload")
 
 
-def far(spark: SparkSession, sf_dir: str) -> DataFrame:
+def far(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """From one customer in thirty, or every customer, to another one."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     n = customers.count()
-    some = customers.where("c_custkey % 30 = 1").select(F.col("c_custkey").cast("bigint").alias("s"), ((F.col("c_custkey") * 37 + 11) % n).cast("bigint").alias("t"), (F.col("c_custkey") % 2).cast("int").alias("sigma"))
+    some = (customers if whole else customers.where("c_custkey % 30 = 1")).select(F.col("c_custkey").cast("bigint").alias("s"), ((F.col("c_custkey") * 37 + 11) % n).cast("bigint").alias("t"), (F.col("c_custkey") % 2).cast("int").alias("sigma"))
     return stored(numbered(some.where("s <> t"), "s").select("qid", "s", "t", "sigma"), "workload")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ def _walks_sql(anchor: str, k: int, back: bool = False) -> str:
       SELECT w.anchor, e.{b}, CASE WHEN w.par = e.sgn THEN 1 ELSE 0 END, w.len + 1 FROM w JOIN e ON e.{a} = w.v WHERE w.len < {k})"""
 
 
-def _loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = derived.customer_graph(spark, sf_dir)
-    return edges, derived.near(edges)
+def _loaded(spark: SparkSession, sf_dir: str, urgent: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Urgent orders and one edge in twenty, or all orders and every edge."""
+    edges = derived.customer_graph(spark, sf_dir, urgent)
+    return edges, derived.near(edges, whole=not urgent)
 
 
 def _reach(strategy: str, k: int):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return reach(*_loaded(spark, sf_dir), k, strategy).drop("stage")
+    def run(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+        return reach(*_loaded(spark, sf_dir, urgent), k, strategy).drop("stage")
 
     return run
 
@@ -66,38 +69,38 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stats(derived.customer_graph(spark, sf_dir, urgent=False))
 
 
-def degree_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ranked(derived.customer_graph(spark, sf_dir))
+def degree_rank(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return graph.ranked(derived.customer_graph(spark, sf_dir, urgent))
 
 
-def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.offsets(derived.customer_graph(spark, sf_dir))
+def csr_offsets(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return graph.offsets(derived.customer_graph(spark, sf_dir, urgent))
 
 
 def sign_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sign_balance(derived.user_graph(spark, sf_dir))
 
 
-def walk_dist_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = _loaded(spark, sf_dir)
+def walk_dist_from(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    e, q = _loaded(spark, sf_dir, urgent)
     return walks.signed_distances(e, q.select(F.col("s").alias("anchor")), 6)
 
 
-def walk_dist_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = _loaded(spark, sf_dir)
+def walk_dist_to(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    e, q = _loaded(spark, sf_dir, urgent)
     return walks.signed_distances(e, q.select(F.col("t").alias("anchor")), 6, backward=True)
 
 
-def walk_reach_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.walk_reach(*_loaded(spark, sf_dir), 6)
+def walk_reach_k6(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return walks.walk_reach(*_loaded(spark, sf_dir, urgent), 6)
 
 
 def dfa_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.parity_hop_dfa(spark, 6)
 
 
-def reach_far_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(derived.customer_graph(spark, sf_dir), derived.far(spark, sf_dir), 6, "cascade").drop("stage")
+def reach_far_k6(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return reach(derived.customer_graph(spark, sf_dir, urgent), derived.far(spark, sf_dir, whole=not urgent), 6, "cascade").drop("stage")
 
 
 def trivial_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +109,12 @@ def trivial_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, odd, 3, "distance_pruned").drop("stage")
 
 
-def shortest_signed_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.shortest_lengths(*_loaded(spark, sf_dir), 6)
+def shortest_signed_len(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return paths.shortest_lengths(*_loaded(spark, sf_dir, urgent), 6)
 
 
-def path_count_by_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.counts_by_sign(*_loaded(spark, sf_dir), 5)
+def path_count_by_sign(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return paths.counts_by_sign(*_loaded(spark, sf_dir, urgent), 5)
 
 
 def query_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +122,8 @@ def query_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, stored(text.shard(q, 5, 20), "shard"), 4, "exhaustive").drop("stage")
 
 
-def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = _loaded(spark, sf_dir)
+def run_summary(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    e, q = _loaded(spark, sf_dir, urgent)
     return summary(e, reach(e, q, 6, "cascade"), 6, "cascade")
 
 
@@ -132,29 +135,35 @@ def exact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_cases(reach(*_loaded(spark, sf_dir), 6, "cascade"))
 
 
-def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.strong_components(derived.customer_graph(spark, sf_dir))
+def scc(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return components.strong_components(derived.customer_graph(spark, sf_dir, urgent))
 
 
-def condensation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.customer_graph(spark, sf_dir)
+def condensation_levels(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    e = derived.customer_graph(spark, sf_dir, urgent)
     return components.topological_levels(e, components.strong_components(e))
 
 
-def biconnected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.customer_graph(spark, sf_dir)
+def biconnected_blocks(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    e = derived.customer_graph(spark, sf_dir, urgent)
     return kernels.biconnected_blocks(e, components.strong_components(e))
 
 
-def two_hop_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_stats(labels.build(derived.customer_graph(spark, sf_dir), 3))
+def two_hop_label_stats(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
+    return labels.label_stats(labels.build(derived.customer_graph(spark, sf_dir, urgent), 3))
 
 
 _PLAIN = [graph_normalize, graph_stats, degree_rank, csr_offsets, sign_balance, walk_dist_from, walk_dist_to, walk_reach_k6, dfa_table, reach_far_k6, trivial_and_missing, shortest_signed_len, path_count_by_sign, query_shard, run_summary, outcome_histogram, exact_listing, scc, condensation_levels, biconnected_blocks, two_hop_label_stats]
 
 
+#: What is also registered over all orders, with every edge (or every customer) as a query.
+_WHOLE = [degree_rank, csr_offsets, walk_dist_from, walk_dist_to, walk_reach_k6, reach_far_k6, shortest_signed_len, path_count_by_sign, run_summary, scc, condensation_levels, biconnected_blocks, two_hop_label_stats]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in _PLAIN} | {f"reach_{s}_k{k}": _reach(s, k) for s, k in REACH}
+    searches = {f"reach_{s}_k{k}": _reach(s, k) for s, k in REACH}
+    whole = {f.__name__: f for f in _WHOLE} | searches
+    return {f.__name__: f for f in _PLAIN} | searches | {f"{name}_whole": partial(f, urgent=False) for name, f in whole.items()}
 
 
 def oracle_sql() -> dict[str, str]:

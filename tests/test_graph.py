@@ -3,6 +3,8 @@ from signpath.operators.cascade import cut_sets
 from signpath.sources import text
 from signpath.streaming.queries import answer_stream
 
+from .brute import answer
+
 RAW = ["0 1 1", "0\t1\t5", "1,2,0", "1 2 -3 99", "1 2 1", "3 3 1", "-1 2 1", "# comment", "1 2", ""]
 EDGES = "src long, dst long, sgn int"
 
@@ -92,3 +94,20 @@ def test_queries_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("qid long, s long, t long, sigma int").parquet(src)
     answer_stream(e, stream, 3, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.qid, r.result) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1), (1, 0)]
+
+
+def test_whole_graph_queries_leave_no_order_out(spark, tmp_path):
+    from signpath.plans import entries
+
+    walk = [1, 2, 3, 1, 4, 5, 6, 4, 2, 6, 7]
+    orders = [(i, v, "FOP"[i % 3], float(i), ("1-URGENT", "3-MEDIUM", "5-LOW")[i % 2 + i % 3 // 2]) for i, v in enumerate(walk)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    edges = sorted({(a[1], b[1], int(a[2] != "F")) for a, b in zip(orders, orders[1:])})
+    asked = sorted((a, b, 1 - g) for a, b, g in edges)
+    q, at = entries.queries(), str(tmp_path)
+    assert {r.v: (r.d_out, r.d_in) for r in q["degree_rank_whole"](spark, at).collect()} == {v: (sum(e[0] == v for e in edges), sum(e[1] == v for e in edges)) for v in set(walk)}
+    assert dict(map(tuple, q["scc_whole"](spark, at).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
+    for name in ("reach_cascade_k6_whole", "reach_two_sided_k6_whole"):
+        got = sorted((r.s, r.t, r.sigma, r.result) for r in q[name](spark, at).collect())
+        assert got == [(s, t, g, answer(edges, s, t, g, 6, 8)) for s, t, g in asked]
+    assert {(r.edges, r.queries) for r in q["run_summary_whole"](spark, at).collect()} == {(len(edges), len(asked))}
