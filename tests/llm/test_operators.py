@@ -343,3 +343,11 @@ def test_prefix_join_tries_every_member_of_a_group(spark):
                         least[a] = least[b] = min(least[a], least[b])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(least))
+
+
+def test_representatives_leave_one_row_of_a_component(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0] + " more"), (None, texts[0]), (None, texts[0] + " more"), (3, texts[1]), (None, texts[2]), (None, None), (4, None), (4, texts[3])]
+    kept = jaccard.representatives(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, texts[0]), (3, texts[1]), (None, texts[2]), (None, None), (4, None), (4, texts[3])])
