@@ -351,3 +351,9 @@ def test_representatives_leave_one_row_of_a_component(spark):
     kept = jaccard.representatives(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"))
     assert kept.columns == ["doc_id", "text", "source"]
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, texts[0]), (3, texts[1]), (None, texts[2]), (None, None), (4, None), (4, texts[3])])
+
+
+def test_forest_learns_nothing_from_the_held_out_fold(spark, corpus, labels):
+    model = rules.fit(corpus, labels)
+    other = rules.fit(corpus.withColumn("text", F.when(rules.remainder() == 0, F.lit("## ## $$ %%\n## ##")).otherwise(F.col("text"))), labels)
+    assert all(np.array_equal(getattr(model, k), getattr(other, k)) for k in ("feature", "split", "length", "threshold"))
