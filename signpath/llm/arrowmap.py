@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,23 +18,38 @@ from signpath.shipping import ship
 BATCH_ROWS = 2000
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
-    """``make`` gets a batch and returns a value for each column of ``schema`` (numpy or Arrow), or None for no rows."""
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: T.StructType | str, after: Callable[[], None] | None = None) -> DataFrame:
+    """``make`` gets a batch and returns a value for each column of ``schema`` (numpy or Arrow), or None for no rows; ``after`` runs at a task's end."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     fields = to_arrow_schema(schema)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH_ROWS):
-                out = make(whole.slice(lo, BATCH_ROWS))
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in fields], schema=fields)
+        with trimmed(after):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, BATCH_ROWS):
+                    out = make(whole.slice(lo, BATCH_ROWS))
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def trimmed(after: Callable[[], None] | None = None) -> Iterator[None]:
+    """Give a task's memory back at its end, also if it fails: the process goes on to other tasks and other stages."""
+    try:
+        yield
+    finally:
+        if after:
+            after()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def _as(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -65,7 +65,7 @@ def sparse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for lo, hi in K.groups(offsets, 2 * K.PIECE):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if hi == lo + 1 and len(part) > 2 * K.PIECE:
-            all_of = sum(np.bincount(gram_ids(piece, cut)[0], minlength=GRAMS) for piece, cut, _ in K.pieces(part, at))
+            all_of = sum(np.bincount(gram_ids(piece, cut)[0], minlength=GRAMS) for piece, cut, _ in K.pieces(part, at, split=True))
             g = np.flatnonzero(all_of)
             r, n = np.full(len(g), lo), all_of[g]
         else:

@@ -1,46 +1,16 @@
-"""Things that several corpus operators need: durable intermediate tables, bounded samples, folds."""
+"""Things that several corpus operators need: bounded samples, folds, tables, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows whose crc32 has this remainder are never learnt from.
-FOLDS = 5
-
+from signpath.durable import discard, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="signpath-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage in a way that outlives a lost executor, and later reads get column pruning.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
+__all__ = ["FOLDS", "bounded_sample", "discard", "free_name", "held_out", "quoted", "remainder", "shared_dir", "stored", "table"]
 
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``stored`` that nothing will read again."""
-    for df in frames:
-        spark, path = df.sparkSession, df._stored_at
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Rows whose crc32 has this remainder are never learnt from.
+FOLDS = 5
 
 
 def remainder(key: str = "doc_id") -> Column:
@@ -67,3 +37,16 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataF
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever dots or blanks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(columns: list[str], like: str) -> str:
+    """A name that no column has, whatever its case."""
+    used = {c.lower() for c in columns}
+    while like.lower() in used:
+        like += "_"
+    return like

@@ -1,12 +1,15 @@
 """Supervised subword embeddings for document quality (operator 3).
 
-Words and byte n-grams of words are hashed into buckets that each have a learnt vector. A document is the mean of the
+Words and the character n-grams of words, between marks of a word's ends, are hashed into buckets that each have a learnt vector. A document is the mean of the
 vectors of all its features; a softmax over two outputs gives the label's probability. Vectors and
 output weights are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows.
 
 As the output is linear in the mean, the two products of a bucket's vector with the output weights hold all that a
 prediction needs, so that scoring adds up table entries over the whole text, whatever its length.
 
+The grams of a word are made once for all its occurrences in some hundred kilobytes of text. A labelled document takes at
+most one count for each bucket to the driver, whatever its length; a word of more than ``textkernel.PIECE`` bytes counts as several.
+
 Defined cases: a null or empty text (or one of white space) has no features and gets the probability that the output
 bias alone gives. Without labelled rows all scores are 0.5. Repeated rows score alike. An empty table gives an
 empty result. Several labels of one document: the lowest counts. Other columns are ignored.
@@ -32,7 +35,8 @@ class Params:
 
     sample: int = 5000
     buckets: int = 1 << 16
-    gram: int = 4
+    shortest: int = 3
+    longest: int = 5
     dim: int = 8
     epochs: int = 6
     rate: float = 2.0
@@ -46,19 +50,40 @@ class Model:
     bias: float
 
 
-def feature_ids(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of the n-grams inside words, and the text of each."""
-    run, mask = K.Running(data), np.uint64(p.buckets - 1)
+def _marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one after the other between ``<`` and ``>``, and where each begins."""
+    sizes = ends - starts + 2
+    begin = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    inner = np.ones(len(out), bool)
+    inner[begin] = inner[begin + sizes - 1] = False
+    out[begin], out[begin + sizes - 1] = ord("<"), ord(">")
+    at = np.flatnonzero(inner)
+    out[at] = data[at + np.repeat(starts - begin - 1, ends - starts)]
+    return out, np.append(begin, len(out))
+
+
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of some words and of their character n-grams, and the word of each."""
+    text, begin = _marked(data, starts, ends)
+    letters = np.flatnonzero((text & 0xC0) != 0x80)  # where characters begin
+    first = np.searchsorted(letters, begin)
+    edge = np.append(letters, len(text))
+    ids, owner = [K.span_hashes(data, starts, ends)], [np.arange(len(starts))]
+    last = np.repeat(first[1:], np.diff(first))
+    word = np.repeat(np.arange(len(starts)), np.diff(first))
+    for size in range(p.shortest, p.longest + 1):
+        at = np.flatnonzero(np.arange(len(letters)) + size <= last)
+        ids.append(K.span_hashes(text, edge[at], edge[at + size], family=1))
+        owner.append(word[at])
+    return (np.concatenate(ids) & np.uint64(p.buckets - 1)).astype(np.int64), np.concatenate(owner)
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of distinct words; for every word which of them it is, and its text."""
     starts, ends = K.spans(data, offsets)
-    cut = np.concatenate([[0], np.cumsum(K.WHITE[data])])
-    edge = np.zeros(len(data) + 1, np.int64)
-    edge[offsets] = 1
-    edges = np.concatenate([[0], np.cumsum(edge)])
-    first = np.arange(max(0, len(data) - p.gram + 1))
-    first = first[(cut[first + p.gram] == cut[first]) & (edges[first + p.gram] == edges[first + 1])]
-    at = np.concatenate([starts, first])
-    ids = run.span(at, np.concatenate([ends, first + p.gram])) & mask
-    return ids.astype(np.int64), np.searchsorted(offsets, at, side="right") - 1
+    _, first, which = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return starts[first], ends[first], which, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def learn(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, p: Params) -> Model:
@@ -97,8 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         ids, counts = [], []
         for i in range(batch.num_rows):
             total = np.zeros(p.buckets, np.int64)
-            for piece, at, _ in K.pieces(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])):
-                total += np.bincount(feature_ids(piece, at, p)[0], minlength=p.buckets)
+            for piece, at, _ in K.pieces(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), split=True):
+                starts, ends, which, _ = distinct_words(piece, at)
+                found, owner = word_features(piece, starts, ends, p)
+                total += np.bincount(found, weights=np.bincount(which, minlength=len(starts))[owner], minlength=p.buckets).astype(np.int64)
             ids.append(np.flatnonzero(total).astype(np.int32))
             counts.append(total[ids[-1]].astype(np.int32))
         return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "ids": pa.array(ids, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32()))}
@@ -115,11 +142,13 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, model: Model, p: Params)
     """Probability of label 1 of each text."""
     n = len(offsets) - 1
     total, seen = np.zeros(n), np.zeros(n)
-    for piece, at, first in K.pieces(data, offsets):
-        ids, owner = feature_ids(piece, at, p)
+    for piece, at, first in K.pieces(data, offsets, split=True):
+        starts, ends, which, text = distinct_words(piece, at)
+        ids, owner = word_features(piece, starts, ends, p)
+        logit, count = np.bincount(owner, weights=model.logits[ids], minlength=len(starts)), np.bincount(owner, minlength=len(starts))
         size = len(at) - 1
-        total[first : first + size] += np.bincount(owner, weights=model.logits[ids], minlength=size)
-        seen[first : first + size] += np.bincount(owner, minlength=size)
+        total[first : first + size] += np.bincount(text, weights=logit[which], minlength=size)
+        seen[first : first + size] += np.bincount(text, weights=count[which], minlength=size)
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(seen, 1) + model.bias, -50, 50)))
 
 

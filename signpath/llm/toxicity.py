@@ -1,6 +1,7 @@
 """Severity of toxicity by cumulative-link ordinal regression (operator 7).
 
-Features are the hashed words of a text and their first five bytes (stems), each present or not. One weight vector
+Features are the hashed words of a text and their first five bytes (stems), each present or not, so that a labelled document
+takes at most one number for each bucket to the driver, whatever its length. One weight vector
 serves all thresholds: P(grade >= k) = sigmoid(w x - t_k) with t_1 <= t_2 <= ... . Grades are the distinct values
 of the label column in order, so two values give one threshold and more give more. Training is
 stochastic in numpy with adaptive steps and a lasso step on a bounded sample of labelled rows.
@@ -54,12 +55,11 @@ class Model:
 def feature_sets(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs, each once, in order of text."""
     out = []
-    for piece, at, first in K.pieces(data, offsets):
+    for piece, at, first in K.pieces(data, offsets, split=True):
         starts, ends = K.spans(piece, at, _GAP)
-        run = K.Running(piece, lower=True)
         long = ends - starts > STEM
-        heads = run.span(starts[long], starts[long] + STEM) + K.PLACES[20]
-        ids = np.concatenate([run.span(starts, ends), K.mix(heads)]) & np.uint64(p.buckets - 1)
+        heads = K.span_hashes(piece, starts[long], starts[long] + STEM, True, 1)
+        ids = np.concatenate([K.span_hashes(piece, starts, ends, True), heads]) & np.uint64(p.buckets - 1)
         owner = np.searchsorted(at, np.concatenate([starts, starts[long]]), side="right") - 1 + first
         out.append(np.unique(owner * p.buckets + ids.astype(np.int64)))
     keys = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
