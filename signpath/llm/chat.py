@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,28 +52,22 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame, t: Template = Template()) -> DataFrame:
     """conv_id, formatted, spans of every conversation."""
-    rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Each text's place is a running sum over the sorted turns, so that work grows with their number and not with its square.
+    run = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    other = lambda near: F.coalesce(near != F.col("role"), F.lit(True))
+    head = lambda role: F.concat(F.lit(t.open), escape(role, t), F.lit(t.body))
+    rows = rows.withColumns({"gap": F.when(other(F.lag("role").over(run)), F.length(head(F.col("role")))).otherwise(len(t.joint)), "rest": F.when(other(F.lead("role").over(run)), len(t.close)).otherwise(0), "size": F.length(escape(F.col("text"), t))})
+    rows = rows.withColumn("end", (F.sum(F.col("gap") + F.col("size") + F.col("rest")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + len(t.start) - F.col("rest")).cast("int"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", (F.col("end") - F.col("size")).alias("start"), "end"))).alias("turns"))
     fresh = lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"])
     starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), fresh)
     rows = rows.withColumn("starts", starts)
     stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("turns"))
     # A message is its role and its escaped texts: one slice of the sorted turns.
     rows = rows.withColumn("messages", F.transform("starts", lambda s, i: F.struct(F.get("turns", s)["role"].alias("role"), F.transform(F.slice("turns", s + 1, stop(i) - s), lambda x: escape(x["text"], t)).alias("texts"))))
-    head = lambda m: F.concat(F.lit(t.open), escape(m["role"], t), F.lit(t.body))
-    formatted = F.concat(F.lit(t.start), F.array_join(F.transform("messages", lambda m: F.concat(head(m), F.array_join(m["texts"], t.joint), F.lit(t.close))), ""))
-
-    # Lengths of what comes before each text, then running sums of them.
-    def lengths(m: Column) -> Column:
-        before = lambda i: F.when(i == 0, F.length(head(m))).otherwise(F.lit(len(t.joint)))
-        return F.transform(m["texts"], lambda x, i: F.struct(before(i).alias("gap"), F.length(x).alias("size"), F.when(i == F.size(m["texts"]) - 1, len(t.close)).otherwise(0).alias("rest"), (m["role"] == t.loss_role).alias("loss")))
-
-    zero = F.struct(F.lit(len(t.start)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"] + x["rest"]).alias("at"),
-        F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    spans = F.aggregate(F.flatten(F.transform("messages", lengths)), zero, step)["spans"]
+    formatted = F.concat(F.lit(t.start), F.array_join(F.transform("messages", lambda m: F.concat(head(m["role"]), F.array_join(m["texts"], t.joint), F.lit(t.close))), ""))
+    spans = F.transform(F.filter("turns", lambda x: x["role"] == t.loss_role), lambda x: F.struct(x["start"], x["end"]))
     return rows.select("conv_id", formatted.alias("formatted"), spans.alias("spans"))
 
 

@@ -11,7 +11,7 @@ measured size allows, and else joined on (host, salt).
 
 Defined cases: blank lines are neither counted nor dropped. A null text stays null and its page counts in the total. A null
 host is a host of its own. Repeated rows are pages of their own. A line twice in a page counts once and both go.
-A page of boilerplate alone becomes empty. An empty table gives an empty result. Other columns pass through.
+A page of boilerplate alone becomes empty. An empty table gives an empty result. Other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -21,16 +21,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import quoted, stored
 
 
 @dataclass(frozen=True)
 class Params:
-    """What is boilerplate, and how its list reaches the pages."""
+    """What is boilerplate, and how its list reaches the pages.
+
+    Three in a hundred pages is where a line that stands on a host by chance or as a shared passage ends and one of its layout
+    begins; on a host of few pages a line near that share may fall on either side. Below ``min_pages`` no share says much.
+    """
 
     ratio: float = 0.03
     min_pages: int = 5
     broadcast_chars: int = 16 << 20
+    broadcast_hosts: int = 200_000
     salts: int = 32
 
 
@@ -43,13 +48,15 @@ def _bare(line: Column) -> Column:
 
 def page_lines(pages: DataFrame, host: str, text: str) -> DataFrame:
     """host and line: one row for each distinct line with content of each page."""
-    own = F.array_distinct(F.transform(F.split(text, "\n"), _bare))
-    return pages.select(F.col(host).alias("lf__h"), F.explode(own).alias("lf__l")).where("lf__l <> ''")
+    own = F.array_distinct(F.transform(F.split(F.col(quoted(text)), "\n"), _bare))
+    return pages.select(F.col(quoted(host)).alias("lf__h"), F.explode(own).alias("lf__l")).where("lf__l <> ''")
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", p: Params = Params()) -> DataFrame:
     """(lf__h, lf__l, lf__n): boilerplate lines of each host, and the pages that hold them; stored in the shared folder."""
-    totals = pages.groupBy(F.col(host).alias("lf__h")).agg(F.count("*").alias("lf__all"))
+    totals = stored(pages.groupBy(F.col(quoted(host)).alias("lf__h")).agg(F.count("*").alias("lf__all")), "host-totals")
+    if totals.count() <= p.broadcast_hosts:
+        totals = F.broadcast(totals)
     often = lambda df: df.where(F.col("lf__n") >= p.min_pages).join(totals.withColumnRenamed("lf__h", "lf__t"), F.col("lf__h").eqNullSafe(F.col("lf__t"))).where(F.col("lf__n") > p.ratio * F.col("lf__all")).drop("lf__t", "lf__all")
     lines = page_lines(pages, host, text).withColumn("lf__x", F.xxhash64("lf__l"))
     likely = stored(often(lines.groupBy("lf__h", "lf__x").agg(F.count("*").alias("lf__n"))).select(F.col("lf__h").alias("lf__g"), F.col("lf__x").alias("lf__y")), "line-candidates")
@@ -60,23 +67,27 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", p: P
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", p: Params = Params(), counts: bool = False) -> DataFrame:
-    """``pages`` with the host's boilerplate lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
+    """``pages`` with the host's boilerplate lines taken out of ``text``; with ``counts``, also n_lines and n_dropped (in place of columns of these names)."""
     found = boilerplate(pages, host, text, p)
     size = found.agg(F.sum(F.length("lf__l") + F.coalesce(F.length(F.col("lf__h").cast("string")), F.lit(0)) + 32)).first()[0] or 0
     lists = found.groupBy("lf__h").agg(F.collect_list("lf__l").alias("lf__drop"))
+    # All columns of a page go into one struct, so that none of them can clash with what is added.
+    rows = pages.select(F.struct(*[F.col(quoted(c)) for c in pages.columns]).alias("lf__row"), F.col(quoted(host)).alias("lf__g"), F.col(quoted(text)).alias("lf__text"))
     if size <= p.broadcast_chars:
-        joined = pages.join(F.broadcast(lists), F.col(host).eqNullSafe(F.col("lf__h")), "left")
+        joined = rows.join(F.broadcast(lists), F.col("lf__g").eqNullSafe(F.col("lf__h")), "left")
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in pages.columns if not pages.schema[c].dataType.simpleString().startswith("map")]), F.lit(p.salts))
+        salt = F.pmod(F.xxhash64("lf__text"), F.lit(p.salts))
         spread = lists.withColumn("lf__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long"))))
-        joined = pages.withColumn("lf__r", salt).join(spread, F.col(host).eqNullSafe(F.col("lf__h")) & (F.col("lf__r") == F.col("lf__s")), "left").drop("lf__r", "lf__s")
-    split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("lf__drop", _bare(x)))
+        joined = rows.withColumn("lf__r", salt).join(spread, F.col("lf__g").eqNullSafe(F.col("lf__h")) & (F.col("lf__r") == F.col("lf__s")), "left")
+    split = F.split("lf__text", "\n")
+    # The page's own boilerplate is found by hashing and is short; each line is looked up in that, not in the host's list.
+    joined = joined.withColumn("lf__hits", F.array_intersect(F.transform(split, _bare), "lf__drop"))
+    kept = F.when(F.size("lf__hits") == 0, split).otherwise(F.filter(split, lambda x: ~F.array_contains("lf__hits", _bare(x))))
     out = joined.withColumn("lf__kept", F.when(F.col("lf__drop").isNull(), split).otherwise(kept))
-    cleaned = F.when(F.col("lf__drop").isNull(), F.col(text)).otherwise(F.array_join("lf__kept", "\n"))
+    cleaned = F.when(F.col("lf__drop").isNull(), F.col("lf__text")).otherwise(F.array_join("lf__kept", "\n"))
     tally = {"n_lines": F.size(split), "n_dropped": F.size(split) - F.size("lf__kept")} if counts else {}
-    own = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in tally]
-    return out.select(*own, *[F.when(F.col(text).isNull(), 0).otherwise(c).cast("long").alias(n) for n, c in tally.items()])
+    own = [cleaned.alias(c) if c == text else F.col(f"lf__row.{quoted(c)}").alias(c) for c in pages.columns if c.lower() not in tally]
+    return out.select(*own, *[F.when(F.col("lf__text").isNull(), 0).otherwise(c).cast("long").alias(n) for n, c in tally.items()])
 
 
 def url_host(url: Column) -> Column:

@@ -12,17 +12,19 @@ source costs a running sum over its blocks and a sort of one block, never of the
 
 Defined cases: a null text has no tokens. A null source is a source of its own. A source without tokens has budget 0 and its
 rows, having no part in the weights, get one copy. Equal hashes are ordered by doc_id; rows with the same doc_id share
-their fate. A null doc_id is hashed as an empty string and sorts first. An empty table gives an empty result.
+their fate. A null doc_id is hashed as an empty string and sorts first. An empty table gives an empty result. Extra columns
+of any name pass through ``realised``, as all of a row goes through the joins in one struct.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import quoted, stored
 
 STEPS = 4096
 FAN = 16
@@ -47,13 +49,18 @@ def _hash(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _measures(p: Params, text: str = "text") -> list[Column]:
+    """tokens, block and order (the place within the block) of a row."""
+    return [
+        F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("mix__tokens"),
+        F.pmod(_hash(p.seed, F.col("doc_id")), F.lit(p.blocks)).cast("int").alias("mix__block"),
+        _hash(p.seed + "-order", F.col("doc_id")).alias("mix__order"),
+    ]
+
+
 def measured(docs: DataFrame, p: Params = Params(), source: str = "source") -> DataFrame:
-    """Adds to ``docs``: mix__tokens, mix__block and mix__order (the place within the block)."""
-    return docs.withColumns({
-        "mix__tokens": F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"),
-        "mix__block": F.pmod(_hash(p.seed, F.col("doc_id")), F.lit(p.blocks)).cast("int"),
-        "mix__order": _hash(p.seed + "-order", F.col("doc_id")),
-    })
+    """doc_id, source, mix__tokens, mix__block and mix__order of every row."""
+    return docs.select("doc_id", F.col(quoted(source)).alias("source"), *_measures(p))
 
 
 def find_exponent(shares: DataFrame, p: Params = Params()) -> float:
@@ -66,8 +73,6 @@ def find_exponent(shares: DataFrame, p: Params = Params()) -> float:
         power = lambda a: F.pow("share", F.lit(a))
         sums = [x for i, a in enumerate(alphas) for x in (F.sum(power(a)).alias(f"z{i}"), F.sum(power(a) * F.log("share")).alias(f"u{i}"))]
         row = shares.agg(*sums).first()
-        import math
-
         entropy = [math.log(row[f"z{i}"]) - a * row[f"u{i}"] / row[f"z{i}"] >= p.entropy * math.log(facts["n"]) for i, a in enumerate(alphas)]
         repeats = [p.budget * facts["least"] ** (a - 1) / row[f"z{i}"] <= max(p.max_repeats, p.budget) + 1e-9 for i, a in enumerate(alphas)]
         return entropy, repeats
@@ -94,9 +99,9 @@ def find_exponent(shares: DataFrame, p: Params = Params()) -> float:
     return max(search(0), search(1)) / STEPS
 
 
-def plan(rows: DataFrame, p: Params = Params(), source: str = "source") -> DataFrame:
+def plan(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """One row for each source and block: mix__p_source, mix__p_block, mix__p_weight, mix__p_epochs, mix__p_state (0 none, 1 whole, 2 up to the cut), cut."""
-    blocks = stored(rows.groupBy(F.col(source).alias("mix__p_source"), F.col("mix__block").alias("mix__p_block")).agg(F.sum("mix__tokens").alias("tokens")), "mix-blocks")
+    blocks = stored(rows.groupBy(F.col("source").alias("mix__p_source"), F.col("mix__block").alias("mix__p_block")).agg(F.sum("mix__tokens").alias("tokens")), "mix-blocks")
     sources = blocks.groupBy("mix__p_source").agg(F.sum("tokens").alias("total"))
     everything = sources.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()["t"]
     shares = stored(sources.where("total > 0").withColumn("share", F.col("total") / F.lit(float(max(everything, 1)))), "mix-shares")
@@ -111,7 +116,7 @@ def plan(rows: DataFrame, p: Params = Params(), source: str = "source") -> DataF
     placed = placed.withColumns({"mix__p_state": state, "left_": F.col("rest") - (F.col("upto") - F.col("tokens"))})
     placed = stored(placed.select("mix__p_source", "mix__p_block", "mix__p_rank", F.coalesce("mix__p_weight", F.lit(0.0)).alias("mix__p_weight"), F.coalesce("mix__p_epochs", F.lit(0)).cast("long").alias("mix__p_epochs"), "mix__p_state", "left_"), "mix-placed")
     # The cut of each source's last block: the last document that still fits.
-    edge = rows.select(F.col(source).alias("r_"), "mix__block", "mix__order", _id().alias("id_"), "mix__tokens")
+    edge = rows.select(F.col("source").alias("r_"), "mix__block", "mix__order", _id().alias("id_"), "mix__tokens")
     ends = placed.where("mix__p_state = 2").select(F.col("mix__p_source").alias("e_"), F.col("mix__p_block").alias("b_"), "left_")
     edge = edge.join(_small(ends, p), F.col("r_").eqNullSafe(F.col("e_")) & (F.col("mix__block") == F.col("b_")))
     running = Window.partitionBy("e_").orderBy("mix__order", "id_").rowsBetween(Window.unboundedPreceding, 0)
@@ -129,26 +134,30 @@ def _small(df: DataFrame, p: Params) -> DataFrame:
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
 
 
-def copies(rows: DataFrame, planned: DataFrame, p: Params = Params(), source: str = "source") -> DataFrame:
-    """Adds mix__copies, mix__weight and mix__rank (the block's place in the last permutation) to measured rows."""
-    joined = rows.join(_small(planned, p), F.col(source).eqNullSafe(F.col("mix__p_source")) & (F.col("mix__block") == F.col("mix__p_block")))
-    fits = (F.col("mix__order") < F.col("cut.mix__order")) | ((F.col("mix__order") == F.col("cut.mix__order")) & (_id() <= F.col("cut.id_")))
-    more = (F.col("mix__p_state") == 1) | ((F.col("mix__p_state") == 2) & F.coalesce(fits, F.lit(False)))
-    return joined.withColumns({"mix__copies": F.col("mix__p_epochs") + more.cast("long"), "mix__weight": F.col("mix__p_weight"), "mix__rank": F.col("mix__p_rank")}).drop(*planned.columns)
+def copies(rows: DataFrame, planned: DataFrame, own, p: Params) -> DataFrame:
+    """``rows`` joined with the struct column ``mix__plan`` (copies, weight); ``own`` gives a column of a row by name."""
+    planned = planned.select(F.struct(*planned.columns).alias("mix__plan"))
+    the = lambda c: F.col(f"mix__plan.{c}")
+    joined = rows.join(_small(planned, p), own("source").eqNullSafe(the("mix__p_source")) & (own("mix__block") == the("mix__p_block")))
+    fits = (own("mix__order") < the("cut.mix__order")) | ((own("mix__order") == the("cut.mix__order")) & (own("id") <= the("cut.id_")))
+    more = (the("mix__p_state") == 1) | ((the("mix__p_state") == 2) & F.coalesce(fits, F.lit(False)))
+    return joined.withColumn("mix__plan", F.struct((the("mix__p_epochs") + more.cast("long")).alias("copies"), the("mix__p_weight").alias("weight")))
 
 
 def mix(docs: DataFrame, p: Params = Params(), source: str = "source") -> DataFrame:
     """doc_id, source, n_tokens, block, copies, weight of every row."""
-    rows = stored(measured(docs.select("doc_id", source, "text"), p, source).drop("text"), "mix-rows")
-    got = copies(rows, plan(rows, p, source), p, source)
-    return got.select("doc_id", source, F.col("mix__tokens").alias("n_tokens"), F.col("mix__block").alias("block"), F.col("mix__copies").alias("copies"), F.round("mix__weight", 9).alias("weight"))
+    rows = stored(measured(docs, p, source), "mix-rows").withColumn("id", _id())
+    got = copies(rows, plan(rows, p), F.col, p)
+    return got.select("doc_id", F.col("source").alias(source), F.col("mix__tokens").alias("n_tokens"), F.col("mix__block").alias("block"), F.col("mix__plan.copies").alias("copies"), F.round("mix__plan.weight", 9).alias("weight"))
 
 
 def realised(docs: DataFrame, p: Params = Params(), source: str = "source") -> DataFrame:
     """The rows of ``docs``, with their columns, as often as the mixture takes each."""
-    planned = plan(measured(docs.select("doc_id", source, "text"), p, source).drop("text"), p, source)
-    got = copies(measured(docs, p, source), planned, p, source).where("mix__copies > 0")
-    return got.withColumn("mix__copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    planned = plan(stored(measured(docs, p, source), "mix-rows"), p)
+    # All columns of a row go into one struct, so that none of them can clash with what is added.
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("mix__row"), F.struct(F.col(quoted(source)).alias("source"), *_measures(p), _id().alias("id")).alias("mix__own"))
+    got = copies(rows, planned, lambda c: F.col(f"mix__own.{c}"), p).where("mix__plan.copies > 0")
+    return got.select("mix__row", F.explode(F.sequence(F.lit(1).cast("long"), "mix__plan.copies"))).select("mix__row.*")
 
 
 def oracle(p: Params = Params(), docs: str = "documents") -> str:
