@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signpath.llm import bpe, chat, components, jaccard, langid, lattice, linefreq, mixing, rules, subword, toxicity
+from signpath.llm import bpe, chat, components, jaccard, langid, lattice, linefreq, mixing, rules, subword, textkernel, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string"
@@ -285,7 +286,7 @@ def test_cuts_cover_the_text():
 
 
 def test_pipeline_stages_keep_columns(spark, corpus, labels, tmp_path):
-    import corpus_pipeline
+    from signpath.llm import pipeline as corpus_pipeline
 
     docs = corpus.drop("score", "component_id")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -296,30 +297,20 @@ def test_pipeline_stages_keep_columns(spark, corpus, labels, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 20
 
 
-def test_bitmaps_drop_no_similar_pair(spark):
-    """Pairs of texts with 0 to 12 changed words: all similar ones pass the bitmaps, the very different ones don't."""
+def test_bitmaps_drop_no_similar_pair():
+    """Pairs of sets with 0 to 30 changed members, of equal and of different bitmap sizes: all similar ones pass, the very different ones don't."""
     rng = np.random.default_rng(5)
-    rows = []
-    for i in range(200):
-        words = [f"w{x}" for x in rng.integers(0, 10_000, int(rng.integers(6, 300)))]
-        other = list(words)
-        for at in rng.integers(0, len(words), int(rng.integers(0, 13))):
-            other[at] = "other"
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    p = jaccard.Params()
-    made = jaccard.sketched(spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(0, np.uint64), p)
-    names = ["n", *[f"bits{k}" for k in range(jaccard.BITS)]]
-    a, b = (made.where(f"doc_id % 2 = {k}").selectExpr("doc_id div 2 AS i", *[f"{c} AS {c}_{k}" for c in names]) for k in (0, 1))
-    fit = jaccard._bitmaps_fit(F.col("n_0"), F.col("n_1"), [(F.col(f"{c}_0"), F.col(f"{c}_1")) for c in names[1:]], p.percent)
-    passed = {r["i"] for r in a.join(b, "i").where(fit).select("i").collect()}
-
-    def shingles(text):
-        w = text.split()
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-
-    share = [len(x & y) / len(x | y) for x, y in ((shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) for i in range(200))]
-    assert {i for i in range(200) if share[i] >= 0.8} <= passed
-    assert sum(s >= 0.8 for s in share) > 20 and len(passed) < 190
+    passed = similar = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 600))
+        one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        two = np.unique(np.concatenate([one[int(rng.integers(0, 60)) :], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)]))
+        shared = len(np.intersect1d(one, two))
+        fits = jaccard.bitmaps_fit(len(one), len(two), jaccard.parity(one), jaccard.parity(two), 80)
+        alike = 100 * shared >= 80 * (len(one) + len(two) - shared)
+        assert fits or not alike
+        passed, similar = passed + fits, similar + alike
+    assert 200 < similar <= passed < 560
 
 
 def test_prefix_join_tries_every_member_of_a_group(spark):
@@ -357,3 +348,338 @@ def test_forest_learns_nothing_from_the_held_out_fold(spark, corpus, labels):
     model = rules.fit(corpus, labels)
     other = rules.fit(corpus.withColumn("text", F.when(rules.remainder() == 0, F.lit("## ## $$ %%\n## ##")).otherwise(F.col("text"))), labels)
     assert all(np.array_equal(getattr(model, k), getattr(other, k)) for k in ("feature", "split", "length", "threshold"))
+
+
+def thue_morse(n=1024):
+    """Two different words that collide under every polynomial hash modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate({97: 98, 98: 97})
+
+
+def test_words_that_collide_in_weak_hashes(spark):
+    one, two = thue_morse()
+    docs = spark.createDataFrame([(1, f"{one}\n{two}"), (2, one), (3, two), (4, f"{one} {two}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in rules.rule_statistics(docs).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2, 3, 4)] == [0, 0, 0, 0] and got[1].n_words == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 1)}
+    tok = bpe.Encoder(bpe.Params()).tok
+    want = {r.doc_id: hashlib.sha256(" ".join(map(str, tok.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest() for r in docs.collect()}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(docs).collect()} == want
+
+
+def test_hashes_do_not_depend_on_the_path():
+    rng = np.random.default_rng(0)
+    for n in (1, 7, 8, 9, 255, 256, 257, 300, 5000):
+        x = rng.integers(65, 123, n + 20).astype(np.uint8)
+        for lower in (False, True):
+            assert textkernel.span_hashes(x, np.array([3]), np.array([3 + n]), lower)[0] == textkernel._long_hash(x[3 : 3 + n], lower, 0)
+    data = np.frombuffer(b"abc abd abc ab" + b"z" * 300 + b" " + b"z" * 300 + b"y", np.uint8)
+    starts, ends = textkernel.spans(data, np.array([0, len(data)]))
+    same = textkernel.same_spans(data, starts, ends, np.roll(starts, 2), np.roll(ends, 2))
+    assert same.tolist() == [False, False, True, False, False]
+
+
+def long_texts():
+    rng = random.Random(2)
+    lines = [" ".join(rng.choice(["the", "of", "#tag", "Grün", "x" * 40]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    many = "\n".join(rng.choice(lines) for _ in range(80_000))
+    return [many, "é" * 1_200_000, "b" * 2_500_000 + " tail word", "a b\n" * 600_000]
+
+
+def test_very_long_texts_and_unbroken_words(spark, labels):
+    """Texts above 2 MiB and words above 2 MB through every operator and stage."""
+    texts = long_texts()
+    docs = spark.createDataFrame([(i, x, "en", f"s{i % 2}") for i, x in enumerate(texts)] + [(10, "the of and green house " * 30, "en", "s0"), (11, "der und haus grün keit " * 30, "de", "s1")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.rule_statistics(docs).collect()}
+    for i, x in enumerate(texts):
+        assert tuple(got[i][k] for k in rules.COUNTS) == rule_counts(x)
+    assert rules.keep(docs, labels).columns == docs.columns
+    found = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
+    assert [found[i].n_shingles for i in range(4)] == [len(shingles(x)) for x in texts]
+    assert all(r.component_id == i for i, r in found.items())
+    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()} <= {"en", "de"}
+    assert all(0 <= r.score <= 1 for r in subword.predict(docs, subword.fit(docs, labels)).collect())
+    assert toxicity.predict(docs, toxicity.fit(docs, labels)).count() == 6
+    assert sorted(r.text for r in linefreq.drop_boilerplate(docs).select(F.md5("text").alias("text")).collect()) == sorted(hashlib.md5(x.encode()).hexdigest() for x in [*texts, "the of and green house " * 30, "der und haus grün keit " * 30])
+    assert mixing.realised(docs).columns == docs.columns
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs).collect()}[0] == len(texts[0].split())
+    turns = docs.selectExpr("doc_id div 2 AS conv_id", "doc_id AS turn", "if(doc_id % 2 = 0, 'user', 'assistant') AS role", "text")
+    assert {r.conv_id: r.loss_chars for r in chat.digests(turns).collect()}[1] == len(texts[3])
+    tok = bpe.Encoder(bpe.Params()).tok
+    some = docs.where("doc_id in (0, 2, 3)").withColumn("text", F.expr("if(doc_id = 2, left(text, 300000), text)"))
+    want = {r.doc_id: hashlib.sha256(" ".join(map(str, tok.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest() for r in some.collect()}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(some).collect()} == want
+
+
+def test_an_unbroken_word_of_64_mb_needs_little_more_than_itself():
+    import tracemalloc
+
+    data = np.full(64 << 20, 97, np.uint8)
+    offsets = np.array([0, len(data)])
+    for work in (lambda: rules.statistics_of(data, offsets), lambda: jaccard.shingle_sets(data, offsets, 5), lambda: langid.sparse(data, offsets), lambda: subword.score_texts(data, offsets, subword.Model(np.zeros(1 << 16, np.float32), 0.0), subword.Params()), lambda: toxicity.feature_sets(data, offsets, toxicity.Params())):
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < 3 * len(data)
+        tracemalloc.stop()
+
+
+def test_clashing_column_names(spark, corpus, labels):
+    """Extra columns named like those that the operators add, dotted names, and nested maps pass through or are ignored."""
+    extra = {c: F.lit(1) for c in ("cut", "mix__copy", "mix__plan", "mix__row", "mix__tokens", "left_", "id", "id_", "lf__h", "lf__row", "lf__l", "n", "h", "a", "b", "key", "gid", "node", "component", "salt", "rows", "a.b", "with space", "held_out", "kept", "quality", "toxic", "copies", "cls", "place", "n_words", "part", "s1", "tick`s")}
+    docs = corpus.drop("score", "component_id").where("length(text) < 2000 or text is null").withColumns({**extra, "m": F.create_map(F.lit("k"), F.array(F.lit(1))), "deep": F.array(F.struct(F.create_map(F.lit("k"), F.lit(1)).alias("m")))})
+    for stage in (lambda d: rules.keep(d, labels), linefreq.drop_boilerplate, lambda d: linefreq.drop_boilerplate(d, p=linefreq.Params(broadcast_chars=-1, ratio=0.1, min_pages=2)), jaccard.representatives, mixing.realised):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() > 10
+    for whole in (lambda d: langid.predict(d, langid.fit(d)), lambda d: subword.predict(d, subword.fit(d, labels)), lambda d: toxicity.predict(d, toxicity.fit(d, labels)), lambda d: rules.judge(d, rules.fit(d, labels)), jaccard.near_duplicates, bpe.digests, mixing.mix):
+        assert whole(docs).count() == docs.count()
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("cell", "copies", "cls", "h1", "salt", "vec", "a.b")})
+    assert {r.component_id for r in lattice.near_duplicates(vectors).collect()} == {0, 1, 2}
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("gap", "rest", "size", "end", "start", "turns", "messages", "spans", "a.b")})
+    assert chat.digests(turns).first().n_turns == 2
+
+
+def test_vectors_of_several_lengths_and_sizes(spark):
+    big = [1e200, 2e200, -1e200]
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [-1.0, -2.0]), (3, big), (4, [x / 1e200 for x in big]), (5, [1e-310, 2e-310, -1e-310]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 0.0]), (8, [1.0, 2.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (0, 7), 8: (2, 0)}
+
+
+@pytest.mark.parametrize("dim", [8, 64, 768])
+def test_lattice_recall_at_the_threshold(dim):
+    p = lattice.Params()
+    f = lattice.family(dim, lattice.blocks_for(10**5, p), p)
+    rng = np.random.default_rng(dim)
+    one, other = rng.standard_normal((2, 1000, dim))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    other -= (other * one).sum(1)[:, None] * one
+    two = 0.95 * one + np.sqrt(1 - 0.95**2) * other / np.linalg.norm(other, axis=1)[:, None]
+    a, b = lattice.cells(one, f, p), lattice.cells(two, f, p)
+    assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() >= 0.95
+    assert np.unique(a[:, 0, 0], return_counts=True)[1].max() < 50
+
+
+def test_hot_cells_are_compared_in_blocks(spark):
+    """Hundreds of near copies, in cells cut into blocks of 32 rows: every pair counts once."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.12
+    x = np.concatenate([x, np.repeat(x[:3], 40, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lattice.Params(block=32)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    links = near.sum(1) - 1
+    assert sum(got[i].n_links for i in got) >= 0.97 * links.sum() and all(got[i].n_links <= links[i] for i in got)
+    assert {got[i].component_id for i in got} == {0}
+
+
+def test_prefix_join_of_hot_groups_and_passages(spark):
+    """A group whose members agree in their prefixes only, a shared passage, and a wide cluster of near copies, against all pairs."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(140)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(140), rng.randint(0, 9)):
+            own[at] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [" ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 30))) + " " + passage for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, least = [shingles(x) for x in texts], list(range(len(texts)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    for p in (jaccard.Params(), jaccard.Params(rounds=1, most_frequent=4, broadcast_ids=1, salt_rows=3)):
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, p).collect()} == dict(enumerate(least))
+
+
+def test_groups_meet_behind_their_prefixes():
+    """Sets with equal prefixes that are similar share one of the next shingles."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(2, 80))
+        head = np.arange(jaccard.prefix_size(n, 80))
+        rest = n - len(head)
+        one, two = (np.concatenate([head, len(head) + np.sort(rng.choice(rest + 6, rest, replace=False))]) for _ in range(2))
+        shared = len(np.intersect1d(one, two))
+        if 100 * shared >= 80 * (2 * n - shared) and not np.array_equal(one, two):
+            size = jaccard.next_size(n, 80)
+            assert len(np.intersect1d(one[len(head) : len(head) + size], two[len(head) : len(head) + size]))
+
+
+def test_encoder_memory_is_bounded_and_ends_with_the_task():
+    e = bpe.encoder(bpe.Params(memory=1 << 20))
+    words = [f"w{i}x".encode() for i in range(20_000)]
+    first = e.known(words[:50])
+    e.known(words)
+    assert e.known(words[:50]) == first
+    held = sum(len(w) + len(a) + len(b) + bpe.OVERHEAD for part in (e.young, e.old) for w, (a, b) in part.items())
+    assert 0 < held <= 1 << 20
+    bpe._forget()
+    assert not bpe._encoders
+
+
+def plain_mixture(gram_counts, table, p):
+    """Expectation-maximisation over one text, and the least language taken away while the likelihood allows."""
+    total = sum(gram_counts.values())
+    price = p.per_log * np.log(total + 1) + p.per_gram * total
+
+    def climb(shares, rounds):
+        for _ in range(rounds):
+            new = np.zeros(len(shares))
+            for g, c in gram_counts.items():
+                joint = shares * table[g]
+                new += c * joint / joint.sum()
+            shares = new / total
+        return shares, sum(c * np.log((shares * table[g]).sum()) for g, c in gram_counts.items())
+
+    n = table.shape[1]
+    alone = np.array([sum(c * np.log(table[g][i]) for g, c in gram_counts.items()) for i in range(n)])
+    full, best = climb(np.full(n, 1 / n), p.rounds)
+    if alone.max() >= best - price:
+        out = np.zeros(n)
+        out[alone.argmax()] = max(full[alone.argmax()], 0.5)
+        return out
+    while (full > 0).sum() > 1:
+        less = full.copy()
+        less[np.where(full > 0, full, np.inf).argmin()] = 0
+        less, reached = climb(less / less.sum(), p.refine)
+        if reached < best - price:
+            break
+        full, best = less, reached
+    return full
+
+
+def test_mixtures_equal_plain_expectation_maximisation(spark, corpus):
+    model, p = langid.fit(corpus), langid.Params()
+    mixed = "the of and tion ing house green " * 9 + "der und schön keit ung haus grün " * 5
+    texts = [r.text for r in corpus.where("doc_id between 0 and 25").collect()] + [mixed, "a", "the und"]
+    import pyarrow as pa
+
+    data, offsets = textkernel.column(pa.array(texts))
+    rows, grams, counts = langid.sparse(data, offsets)
+    got = langid.mixtures(rows, grams, counts, len(texts), model, p)
+    for i in range(len(texts)):
+        own = {int(g): int(c) for g, c in zip(grams[rows == i], counts[rows == i], strict=True)}
+        want = plain_mixture(own, model.table.astype(float), p) if own else np.zeros(len(model.langs))
+        assert np.allclose(got[i], want, atol=2e-3), (texts[i][:40], got[i], want)
+
+
+def test_quality_scores_equal_plain_sums():
+    """Scores from distinct words equal those from all words and n-grams one by one."""
+    p = subword.Params()
+    rng = np.random.default_rng(1)
+    model = subword.Model(rng.normal(size=p.buckets).astype(np.float32), 0.1)
+    texts = ["Grün ist grün, ein Wort ein Wort", "", "a bb ccc dddd " * 3, "é 漢字 😀x"]
+    import pyarrow as pa
+
+    def bucket(raw, family):
+        x = np.frombuffer(raw, np.uint8)
+        return int(textkernel.span_hashes(x, np.array([0]), np.array([len(x)]), family=family)[0] & np.uint64(p.buckets - 1))
+
+    want = []
+    for text in texts:
+        ids = []
+        for w in words(text):
+            marked = f"<{w}>"
+            ids += [bucket(w.encode(), 0)] + [bucket(marked[i : i + n].encode(), 1) for n in range(p.shortest, p.longest + 1) for i in range(len(marked) - n + 1)]
+        want.append(1 / (1 + np.exp(-((np.mean([float(model.logits[i]) for i in ids]) if ids else 0.0) + model.bias))))
+    assert np.allclose(subword.score_texts(*textkernel.column(pa.array(texts)), model, p), want, atol=1e-6)
+
+
+def test_severity_equals_the_plain_definition(spark):
+    p = toxicity.Params()
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=p.buckets).astype(np.float32), np.array([-0.5, 0.7]), [0, 1, 3])
+    texts = ["rude, words here", "Calm calm", "", "vile!vile vileness"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.predict(docs, model, p).collect()}
+
+    def bucket(raw, family):
+        x = np.frombuffer(raw, np.uint8)
+        return int(textkernel.span_hashes(x, np.array([0]), np.array([len(x)]), True, family)[0] & np.uint64(p.buckets - 1))
+
+    for i, text in enumerate(texts):
+        tokens = {w.encode() for w in re.findall("[a-z0-9]+", text.lower())}
+        ids = {bucket(w, 0) for w in tokens} | {bucket(w[:5], 1) for w in tokens if len(w) > 5}
+        total = sum(float(model.weights[k]) for k in ids)
+        above = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert np.isclose(got[i].severity, sum(above)) and np.isclose(got[i].p_toxic, above[0]) and got[i].grade == model.grades[int(np.argmax(each))]
+        assert got[i].flagged == (bool(ids) and above[0] >= 0.5)
+
+
+def test_forest_paths_and_threshold_equal_plain_ones(spark):
+    """Path lengths by walking each tree, and the threshold by counting, on rows of two kinds."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(20, 60))) if i % 4 else " ".join(rng.choice(["##", "$$$", "A1%", f"W{i}"]) for _ in range(rng.randint(12, 20))) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)], "doc_id long, quality int")
+    p = rules.Params(trees=16)
+    m = rules.fit(docs, labels, p)
+    got = {r.doc_id: r for r in rules.judge(docs, m).collect()}
+    stats = {r.doc_id: r for r in rules.rule_statistics(docs).collect()}
+
+    def path(t, x):
+        at = 0
+        for _ in range(m.depth):
+            at = 2 * at + (2 if x[m.feature[t][at]] >= m.split[t][at] else 1)
+        return m.length[t][at - 2**m.depth + 1]
+
+    for i, r in stats.items():
+        score = 2 ** (-np.mean([path(t, r.features) for t in range(p.trees)]) / m.norm)
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert np.isclose(got[i].anomaly, score) and got[i].kept == (not failed and score <= m.threshold)
+    learnt = [i for i in got if zlib.crc32(str(i).encode()) % 5 and not got[i].base_failed]
+    good = [i for i in learnt if i % 4]
+    assert sum(got[i].anomaly > m.threshold for i in good) <= p.max_false_reject * len(good)
+    floor = sorted((got[i].anomaly for i in good), reverse=True)[int(p.max_false_reject * len(good))]
+    worse = [got[i].anomaly for i in learnt if i % 4 == 0 and got[i].anomaly > floor]
+    assert np.isclose(m.threshold, (floor + min(worse)) / 2)
+
+
+def test_pipeline_equals_its_plain_stages(spark, tmp_path):
+    """run() on a small table against plain Python for all that SQL can't express, with the operators' own model and mixture."""
+    from signpath.llm import pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        text = "\n".join(" ".join(f"w{rng.randint(0, 900)}" for _ in range(12)) for _ in range(4)) + ("\nhome menu\n" if i % 2 else "")
+        rows.append((i, text, "en", f"s{i % 3}"))
+    rows += [(200 + i, rows[i][1] + " more", "en", "s0") for i in range(10)] + [(300, None, "en", "s0"), (301, "", "en", "s1"), (302, "too short", None, None), rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(120)], "doc_id long, quality int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in rules.judge(docs, rules.fit(docs, labels)).collect() if r.kept}
+    first = [r for r in rows if r[0] in kept]
+    q = linefreq.Params()
+    second = [(r[0], t, r[3]) for r, t in zip(first, plain_cleaning([(r[3], r[1]) for r in first], q.ratio, q.min_pages), strict=True)]
+    sets = [shingles(t) for _, t, _ in second]
+    least = {r[0]: r[0] for r in second}
+    for _ in second:
+        for (i, _, _), a in zip(second, sets, strict=True):
+            for (j, _, _), b in zip(second, sets, strict=True):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+    third = list({(i, t, s) for i, t, s in second if least[i] == i})
+    table = spark.createDataFrame(third, "doc_id long, text string, source string")
+    copies = {r.doc_id: r.copies for r in mixing.mix(table).collect()}
+    tok = bpe.Encoder(bpe.Params()).tok
+    want = Counter()
+    for i, t, _ in third:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += copies[i]
+    assert Counter(tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()) == +want
+    assert 0 < len(third) < len(second) < len(rows)
+
+
+def test_pipeline_of_empty_tables(spark, corpus, labels, tmp_path):
+    from signpath.llm import pipeline
+
+    corpus.drop("score", "component_id").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
