@@ -1,47 +1,7 @@
-"""The corpus pipeline: quality rules, line frequency, near-duplicate join, source mixing, BPE encoding."""
+"""The corpus pipeline's stages, SQL and run; all of it is in ``signpath.llm.pipeline``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from signpath.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from signpath.llm import bpe, jaccard, linefreq, mixing, rules
-from signpath.llm.shared import stored, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return rules.keep(docs, table(spark, sf_dir, "labels"))
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
-    return linefreq.drop_boilerplate(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return jaccard.representatives(docs)
-
-
-def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
-    return mixing.realised(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document."""
-    return bpe.digests(docs)
-
-
-STAGES = [("quality_rules", quality), ("line_frequency", lines), ("near_duplicates", near_duplicates), ("source_mixing", sources), ("bpe_encoding", encode)]
-
-#: SQL can express neither an isolation forest nor a BPE vocabulary.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
