@@ -15,11 +15,6 @@ def product(a: Column, b: Column) -> Column:
     return F.when(a == b, 1).otherwise(0).cast("int")
 
 
-def parity(signs: Column) -> Column:
-    """Sign of a whole group of edges, as an aggregate: positive if an even number is negative."""
-    return F.when(F.sum(1 - signs) % 2 == 0, 1).otherwise(0).cast("int")
-
-
 def is_simple(path: Column) -> Column:
     return F.size(F.array_distinct(path)) == F.size(path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from signpath.durable import stored
 
 from .graph import vertices
+from .kernels import search_by_blocks
 
 HOPS = 4
 
@@ -93,16 +94,14 @@ def topological_levels(edges: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def by_component(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, len): shortest simple paths, after whole components that no path from s to t can pass are dropped.
+    """(qid, len, blocks): shortest simple paths and the blocks that they cross, after whole components that no path can pass are dropped.
 
     A simple path goes through the condensation in order of level, so that only edges between the levels of its ends matter.
-    What is left of each query is solved by branch and bound over its own pruned edges.
+    What is left of each query is solved block by block over its own pruned edges.
     """
-    from .kernels import branch_and_bound
-
     comp = strong_components(edges)
     level = topological_levels(edges, comp)
     placed = stored(comp.join(level, "comp").select("v", "level"), "levels")
     ends = queries.join(placed.select(F.col("v").alias("s"), F.col("level").alias("from_level")), "s").join(placed.select(F.col("v").alias("t"), F.col("level").alias("to_level")), "t")
     possible = stored(ends.where("from_level <= to_level").select("qid", "s", "t", "sigma"), "possible")
-    return branch_and_bound(edges, possible, k)
+    return search_by_blocks(edges, possible, k)

@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signpath.durable import rows_of, stored
+
 #: Edge tables of at most so many rows are broadcast to a join; larger ones are joined by shuffle.
 BROADCAST_EDGES = 1_000_000
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """Drop self-loops, negative and missing vertices, map signs, keep each edge once."""
-    from signpath.functions.signs import normal_sign
-
-    good = raw.where("src is not null and dst is not null and sgn is not null and src <> dst and src >= 0 and dst >= 0")
-    return good.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), normal_sign(F.col("sgn")).alias("sgn")).distinct()
-
-
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sgn")
+    out = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sgn")
+    if hasattr(edges, "_seen"):
+        out._seen = edges._seen
+    return out
 
 
 def sized(edges: DataFrame) -> DataFrame:
     """Marked for broadcast if its counted rows allow."""
-    return F.broadcast(edges) if edges.count() <= BROADCAST_EDGES else edges
+    return F.broadcast(edges) if rows_of(edges) <= BROADCAST_EDGES else edges
 
 
 def vertex_count(edges: DataFrame) -> int:
@@ -41,15 +38,28 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("v").agg(F.sum("o").cast("bigint").alias("d_out"), F.sum("i").cast("bigint").alias("d_in"))
 
 
+def running(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds the running sum of ``value`` in a total order, without a task that sees all rows.
+
+    Rows are sorted into ranges and stored; sums within a range are added to the sums of the ranges before it, one number a range.
+    """
+    own = df.columns
+    rows = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("value", value.cast("bigint")), "ranges")
+    rows = rows.withColumn("range", F.shiftrightunsigned("at", 33))
+    sums = rows.groupBy("range").agg(F.sum("value").alias("sum"))
+    before = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
+    inside = F.sum("value").over(Window.partitionBy("range").orderBy("at"))
+    return rows.withColumn("inside", inside).join(F.broadcast(before), "range").select(*own, (F.col("inside") + F.col("before")).cast("bigint").alias(name))
+
+
 def ranked(edges: DataFrame) -> DataFrame:
-    """(v, rank): by product of degrees, largest first, then by vertex. One sort of the vertex table."""
-    return degrees(edges).withColumn("rank", F.row_number().over(Window.orderBy((F.col("d_in") * F.col("d_out")).desc(), "v")).cast("bigint")).select("v", "d_out", "d_in", "rank")
+    """(v, d_out, d_in, rank): by product of degrees, largest first, then by vertex."""
+    return running(degrees(edges), F.lit(1), [(F.col("d_in") * F.col("d_out")).desc(), F.col("v")], "rank")
 
 
 def offsets(edges: DataFrame) -> DataFrame:
     """(v, begin, finish): places of each vertex's out-edges in an array sorted by source."""
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return degrees(edges).withColumn("finish", F.sum("d_out").over(run).cast("bigint")).select("v", (F.col("finish") - F.col("d_out")).alias("begin"), "finish")
+    return running(degrees(edges), F.col("d_out"), [F.col("v")], "finish").select("v", (F.col("finish") - F.col("d_out")).alias("begin"), "finish")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signpath.functions.signs import edge_key
 from signpath.shipping import ship
 
 from .paths import pruned_edges
@@ -174,6 +175,78 @@ def blocks_of(arcs: list[tuple[int, int]]) -> list[int]:
     return block
 
 
+def block_chain(pairs: list[tuple[int, int]], s: int, t: int) -> list[tuple[int, int, int]]:
+    """(block, entry, exit) of the biconnected blocks between s and t, in order; empty if nothing joins them.
+
+    Blocks and the vertices that part them are a tree, so that every simple path from s to t goes through these blocks, from one
+    cut vertex to the next, and through no other.
+    """
+    inside = defaultdict(set)
+    for (a, b), block in zip(pairs, blocks_of(pairs), strict=True):
+        inside[block] |= {a, b}
+    of = defaultdict(list)
+    for block, some in inside.items():
+        for v in some:
+            of[v].append(block)
+    came, level = {s: None}, [s]
+    used: set[int] = set()
+    while level and t not in came:
+        new = []
+        for v in level:
+            for block in of[v]:
+                if block in used:
+                    continue
+                used.add(block)
+                for w in inside[block]:
+                    if w not in came:
+                        came[w] = (block, v)
+                        new.append(w)
+        level = new
+    chain, v = [], t
+    while came.get(v):
+        block, entry = came[v]
+        chain.append((block, entry, v))
+        v = entry
+    return chain[::-1] if t in came else []
+
+
+def shortest_by_blocks(edges: list[tuple[int, int, int]], s: int, t: int, sigma: int, k: int) -> tuple[int | None, int]:
+    """Length of a shortest simple path of the sign, and the number of blocks that it goes through.
+
+    The least lengths of both signs go from block to block; each block is solved by itself.
+    """
+    pairs = sorted({(min(a, b), max(a, b)) for a, b, _ in edges})
+    chain = block_chain(pairs, s, t)
+    at = dict(zip(pairs, blocks_of(pairs), strict=True))
+    arcs = defaultdict(list)
+    for a, b, g in edges:
+        arcs[at[min(a, b), max(a, b)]].append((a, b, g))
+    best = {1: 0}
+    for block, entry, exit_ in chain:
+        spare = k - min(best.values())
+        inside = {g: shortest_simple(arcs[block], entry, exit_, g, spare) for g in (0, 1)}
+        more: dict[int, int] = {}
+        for par, size in best.items():
+            for g, own in inside.items():
+                if own is not None and size + own <= k:
+                    more[int(par == g)] = min(size + own, more.get(int(par == g), k))
+        best = more
+        if not best:
+            break
+    return best.get(sigma) if chain else None, len(chain)
+
+
+def search_by_blocks(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, len, blocks) of the queries that have any pruned edges; len is null where no simple path has the sign."""
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        q = rows.iloc[0]
+        size, blocks = shortest_by_blocks(list(rows[["src", "dst", "sgn"]].itertuples(index=False, name=None)), q.s, q.t, q.sigma, k)
+        return pd.DataFrame({"qid": [q.qid], "len": pd.array([size], "Int64"), "blocks": [blocks]})
+
+    return _per_query(edges, queries, k, answer, "qid long, len long, blocks long")
+
+
 def biconnected_blocks(edges: DataFrame, component: DataFrame) -> DataFrame:
     """(comp, a, b, block): the undirected edges inside each component and the least edge number of their block.
 
@@ -183,7 +256,8 @@ def biconnected_blocks(edges: DataFrame, component: DataFrame) -> DataFrame:
     ship(edges.sparkSession)
     one, two = (component.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("src", "dst"))
     inside = edges.join(one, "src").join(two, "dst").where("comp_src = comp_dst")
-    pairs = inside.select(F.col("comp_src").alias("comp"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    one, two = edge_key(F.col("src"), F.col("dst"))
+    pairs = inside.select(F.col("comp_src").alias("comp"), one.alias("a"), two.alias("b")).distinct()
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["a", "b"], ignore_index=True)

@@ -13,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signpath.durable import stored
+from signpath.durable import counted, rows_of, seen, stored
 from signpath.functions.signs import meets_only_once, product
 
 from .graph import reverse, sized
-from .walks import distances, product_candidates, signed_distances
+from .walks import ball, product_candidates, signed_ball
 
 STATE = ["qid", "s", "t", "sigma", "v", "par", "len", "path"]
 
@@ -37,48 +37,87 @@ def _hits(paths: DataFrame) -> DataFrame:
     return paths.where("v = t and par = sigma").select("qid").distinct()
 
 
-def search(queries: DataFrame, edges: DataFrame, k: int, prune: Callable[[DataFrame], DataFrame] = lambda x: x, on: Column | None = None) -> DataFrame:
-    """Level by level; ``prune`` sees each new level. Levels are stored, so that none is computed twice."""
+def search(queries: DataFrame, edges: DataFrame, k: int, prune: Callable[[DataFrame, int], DataFrame] = lambda x, d: x, on: Column | None = None) -> DataFrame:
+    """Level by level; ``prune`` sees each new level and its number. Levels are stored, so that none is computed twice.
+
+    A level is one job, which also counts its rows and hits, so that the search ends when nothing is left.
+    """
     now, found = start(queries), []
     for d in range(1, k + 1):
-        nxt = prune(expand(now, edges, on=on))
-        if found:
-            nxt = nxt.join(found[-1], "qid", "left_anti")
-        now = stored(nxt, "paths")
-        found.append(_hits(now))
-        if d < k and not now.limit(1).count():
+        nxt = prune(expand(now, edges, on=on), d)
+        if found and seen(now)["hits"]:
+            nxt = nxt.join(_hits(now), "qid", "left_anti")
+        now = counted(nxt, "paths", d, hits=F.count_if((F.col("v") == F.col("t")) & (F.col("par") == F.col("sigma"))))
+        found.append(now)
+        if not rows_of(now):
             break
-    return reduce(DataFrame.unionByName, found).distinct() if found else queries.select("qid").limit(0)
+    hits = [_hits(x) for x in found if seen(x)["hits"]]
+    return reduce(DataFrame.unionByName, hits).distinct() if hits else queries.select("qid").limit(0)
 
 
 def exhaustive(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return search(queries, sized(edges), k)
 
 
+def hopeful(edges: DataFrame, queries: DataFrame, k: int) -> Callable[[DataFrame, int], DataFrame]:
+    """A test for ``search``: a walk of the missing sign leads from a half path to t within the remaining hops.
+
+    Distances are needed for the second half of the hops only, where nearly all half paths are; no ball of k hops is built.
+    """
+    half = (k + 1) // 2
+    dist = signed_ball(edges, queries.select(F.col("t").alias("anchor")), k - half, backward=True)
+    rest = dist.select(F.col("anchor").alias("t"), "v", F.col("par").alias("need"), F.col("dist").alias("h"))
+
+    def prune(paths: DataFrame, d: int) -> DataFrame:
+        if d < half:
+            return paths
+        own = paths.columns
+        return paths.withColumn("need", product(F.col("par"), F.col("sigma"))).join(rest.where(F.col("h") <= k - d), ["t", "v", "need"]).select(*own)
+
+    return prune
+
+
 def distance_pruned(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Half paths are kept only if a walk of the missing sign leads from them to t within the remaining hops."""
-    dist = signed_distances(edges, queries.select(F.col("t").alias("anchor")), k, backward=True)
-    rest = stored(dist.select(F.col("anchor").alias("t"), "v", F.col("par").alias("need"), F.col("dist").alias("h")), "remaining")
-    need = product(F.col("par"), F.col("sigma"))
-    return search(queries, sized(edges), k, lambda x: x.withColumn("need", need).join(rest, ["t", "v", "need"]).where(F.col("len") + F.col("h") <= k).select(*STATE))
+    return search(queries, sized(edges), k, hopeful(edges, queries, k))
 
 
 def pruned_edges(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, src, dst, sgn, h): the edges that lie on a walk of at most k edges between a query's ends; h hops remain at dst.
 
-    Signs play no part, so that one index serves both. Walks pass neither end on their way.
+    Signs play no part, so that one index serves both. Walks pass neither end on their way. Half of the hops are walked from each end;
+    the other half is walked only through what the other end has reached in the hops that remain.
     """
-    from_s = distances(edges, queries.select("qid", F.col("s").alias("anchor"), F.col("t").alias("other")), k, avoid=True)
-    to_t = distances(edges, queries.select("qid", F.col("t").alias("anchor"), F.col("s").alias("other")), k, backward=True, avoid=True)
-    both = from_s.withColumnRenamed("dist", "ds").join(to_t.withColumnRenamed("dist", "dt"), ["qid", "v"]).where(F.col("ds") + F.col("dt") <= k)
+    half = (k + 1) // 2
+    ends = {"s": queries.select("qid", F.col("s").alias("anchor"), F.col("t").alias("other")), "t": queries.select("qid", F.col("t").alias("anchor"), F.col("s").alias("other"))}
+    from_s, to_t = ball(edges, ends["s"], half), ball(edges, ends["t"], k - half, backward=True)
+    plain = edges.select("src", "dst").distinct()
+
+    def beyond(near: DataFrame, far: DataFrame, other: DataFrame, begin: int, e: DataFrame) -> DataFrame:
+        """Least distances beyond ``begin`` hops of what ``far`` can still reach."""
+        at = near.where(F.col("dist") == begin).join(other.select("qid", "other"), "qid").where("v <> other").select("qid", "v")
+        known = far.select("qid", "v", F.col("dist").alias("left"))
+        more = []
+        for d in range(begin + 1, k + 1):
+            at = at.join(e, F.col("v") == F.col("src")).select("qid", F.col("dst").alias("v")).distinct().join(known.where(F.col("left") <= k - d), ["qid", "v"]).select("qid", "v")
+            more.append(at.withColumn("dist", F.lit(d)))
+        return reduce(DataFrame.unionByName, [near, *more]).groupBy("qid", "v").agg(F.min("dist").alias("dist"))
+
+    ahead = beyond(from_s, to_t, ends["s"], half, sized(plain))
+    back = beyond(to_t, from_s, ends["t"], k - half, sized(reverse_plain(plain)))
+    both = ahead.withColumnRenamed("dist", "ds").join(back.withColumnRenamed("dist", "dt"), ["qid", "v"]).where(F.col("ds") + F.col("dt") <= k)
     both = stored(both, "between")
     left, right = both.select("qid", F.col("v").alias("src"), "ds"), both.select("qid", F.col("v").alias("dst"), F.col("dt").alias("h"))
     met = left.join(sized(edges), "src").join(right, ["qid", "dst"]).where(F.col("ds") + 1 + F.col("h") <= k)
-    ends = queries.select("qid", F.col("s").alias("s0"), F.col("t").alias("t0"))
-    met = met.join(ends, "qid").where("dst <> s0 and src <> t0")
+    outer = queries.select("qid", F.col("s").alias("s0"), F.col("t").alias("t0"))
+    met = met.join(outer, "qid").where("dst <> s0 and src <> t0")
     return stored(met.select("qid", "src", "dst", "sgn", "h"), "pruned-edges")
 
 
+def reverse_plain(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def two_sided(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exhaustive search over each query's own pruned edges."""
     own = pruned_edges(edges, queries, k).withColumnRenamed("qid", "q_")
@@ -94,17 +133,20 @@ def bidirectional(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     half, rest = (k + 1) // 2, k // 2
     now, hits = start(queries), []
     e = sized(edges)
-    for _ in range(half):
-        now = stored(expand(now, e), "forward")
-        hits.append(_hits(now))
+    for d in range(1, half + 1):
+        now = counted(expand(now, e), "forward", d, hits=F.count_if((F.col("v") == F.col("t")) & (F.col("par") == F.col("sigma"))))
+        if seen(now)["hits"]:
+            hits.append(_hits(now))
+    # Queries that are answered already don't search from the other end.
     back, sides = start(queries, "t"), []
+    if hits:
+        back = back.join(reduce(DataFrame.unionByName, hits).distinct(), "qid", "left_anti")
     r = sized(reverse(edges))
     for _ in range(rest):
         back = stored(expand(back, r, stop="s"), "backward")
         sides.append(back)
     if sides:
-        done = reduce(DataFrame.unionByName, hits).distinct()
-        f = now.where("v <> t").join(done, "qid", "left_anti").select("qid", "v", "sigma", F.col("par").alias("pf"), F.col("len").alias("lf"), F.col("path").alias("one"))
+        f = now.where("v <> t").select("qid", "v", "sigma", F.col("par").alias("pf"), F.col("len").alias("lf"), F.col("path").alias("one"))
         b = reduce(DataFrame.unionByName, sides).select("qid", "v", F.col("par").alias("pb"), F.col("len").alias("lb"), F.col("path").alias("two"))
         met = f.join(b, ["qid", "v"]).where((product(F.col("pf"), F.col("pb")) == F.col("sigma")) & (F.col("lf") + F.col("lb") <= k) & meets_only_once(F.col("one"), F.col("two")))
         hits.append(met.select("qid").distinct())
@@ -120,7 +162,7 @@ def automaton(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return queries.select("qid").limit(0)
     live = stored(product_candidates(edges, queries, k), "live-states")
     state = (F.col("len") * 2 + (1 - F.col("par"))).cast("int")
-    return search(queries, sized(edges), k, lambda x: x.withColumn("state", state).join(live, ["t", "sigma", "v", "state"], "left_semi").select(*STATE))
+    return search(queries, sized(edges), k, lambda x, d: x.withColumn("state", state).join(live, ["t", "sigma", "v", "state"], "left_semi").select(*STATE))
 
 
 def counts_by_sign(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signpath.durable import stored
+from signpath.durable import counted, rows_of, stored
 from signpath.functions.signs import product
 
 from .graph import reverse, sized
@@ -15,21 +15,24 @@ from .graph import reverse, sized
 
 def _levels(seed: DataFrame, step, keys: list[str], k: int, name: str) -> list[DataFrame]:
     """Frontiers 0..k: each is what ``step`` makes of the one before, without states seen earlier."""
-    levels = [stored(seed, name)]
+    levels = [counted(seed, name)]
     for d in range(1, k + 1):
         seen = reduce(DataFrame.unionByName, [x.select(*keys) for x in levels])
-        new = stored(step(levels[-1], d).join(seen, keys, "left_anti"), name)
-        levels.append(new)
-        if not new.limit(1).count():
+        levels.append(counted(step(levels[-1], d).join(seen, keys, "left_anti"), name, d))
+        if not rows_of(levels[-1]):
             break
     return levels
 
 
-def signed_distances(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False) -> DataFrame:
-    """(anchor, v, par, dist): least length of a walk of sign par from the anchor to v, or from v to it, up to k.
+def _ball(seed: DataFrame, step, keys: list[str], k: int, name: str) -> DataFrame:
+    """``keys`` and their least ``dist`` up to k, in one job: for half the hops of a search, where levels are small."""
+    levels = [seed]
+    for d in range(1, k + 1):
+        levels.append(step(levels[-1], d))
+    return stored(reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.min("dist").alias("dist")), name)
 
-    ``anchors`` has a column ``anchor``; work is shared by all queries that have the same one.
-    """
+
+def _signed(edges: DataFrame, anchors: DataFrame, backward: bool):
     e = sized(reverse(edges) if backward else edges)
     seed = anchors.select("anchor").distinct().select("anchor", F.col("anchor").alias("v"), F.lit(1).alias("par"), F.lit(0).alias("dist"))
 
@@ -37,11 +40,23 @@ def signed_distances(edges: DataFrame, anchors: DataFrame, k: int, backward: boo
         met = frontier.join(e, F.col("v") == F.col("src"))
         return met.select("anchor", F.col("dst").alias("v"), product(F.col("par"), F.col("sgn")).alias("par"), F.lit(d).alias("dist")).distinct()
 
-    return reduce(DataFrame.unionByName, _levels(seed, step, ["anchor", "v", "par"], k, "walks"))
+    return seed, step
 
 
-def distances(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False, avoid: bool = False) -> DataFrame:
-    """(qid, v, dist) without signs; with ``avoid``, walks never pass through the query's other end (column ``other``)."""
+def signed_distances(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False) -> DataFrame:
+    """(anchor, v, par, dist): least length of a walk of sign par from the anchor to v, or from v to it, up to k.
+
+    ``anchors`` has a column ``anchor``; work is shared by all queries that have the same one.
+    """
+    return reduce(DataFrame.unionByName, _levels(*_signed(edges, anchors, backward), ["anchor", "v", "par"], k, "walks"))
+
+
+def signed_ball(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False) -> DataFrame:
+    """``signed_distances`` for few hops, in one job."""
+    return _ball(*_signed(edges, anchors, backward), ["anchor", "v", "par"], k, "signed-ball")
+
+
+def _plain(edges: DataFrame, anchors: DataFrame, backward: bool, avoid: bool):
     e = sized((reverse(edges) if backward else edges).select("src", "dst").distinct())
     seed = anchors.select("qid", F.col("anchor").alias("v"), "other", F.lit(0).alias("dist"))
 
@@ -51,14 +66,30 @@ def distances(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = Fal
         met = frontier.join(e, F.col("v") == F.col("src"))
         return met.select("qid", F.col("dst").alias("v"), "other", F.lit(d).alias("dist")).distinct()
 
-    return reduce(DataFrame.unionByName, _levels(seed, step, ["qid", "v"], k, "hops")).select("qid", "v", "dist")
+    return seed, step
+
+
+def distances(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False, avoid: bool = False) -> DataFrame:
+    """(qid, v, dist) without signs; with ``avoid``, walks never pass through the query's other end (column ``other``)."""
+    return reduce(DataFrame.unionByName, _levels(*_plain(edges, anchors, backward, avoid), ["qid", "v"], k, "hops")).select("qid", "v", "dist")
+
+
+def ball(edges: DataFrame, anchors: DataFrame, k: int, backward: bool = False) -> DataFrame:
+    """(qid, v, dist) for few hops, in one job; walks never pass through the query's other end."""
+    return _ball(*_plain(edges, anchors, backward, True), ["qid", "v", "other"], k, "ball").drop("other")
 
 
 def walk_reach(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, walk): whether a walk of at most k edges has the wanted sign. False rules a simple path out."""
-    dist = signed_distances(edges, queries.select(F.col("s").alias("anchor")), k)
-    hits = dist.select(F.col("anchor").alias("s"), F.col("v").alias("t"), F.col("par").alias("sigma"), F.lit(1).alias("walk"))
-    return queries.join(hits, ["s", "t", "sigma"], "left").select("qid", F.coalesce("walk", F.lit(0)).alias("walk"))
+    """(qid, walk): whether a walk of at most k edges has the wanted sign. False rules a simple path out.
+
+    Half of the hops are walked from each end, shared by all queries with that end, and met in the middle.
+    """
+    half = (k + 1) // 2
+    ahead = signed_ball(edges, queries.select(F.col("s").alias("anchor")), half)
+    back = signed_ball(edges, queries.select(F.col("t").alias("anchor")), k - half, backward=True)
+    one = queries.join(ahead.select(F.col("anchor").alias("s"), "v", F.col("par").alias("p1"), F.col("dist").alias("d1")), "s").select("qid", "t", "v", product(F.col("p1"), F.col("sigma")).alias("p2"))
+    hits = one.join(back.select(F.col("anchor").alias("t"), "v", F.col("par").alias("p2")), ["t", "v", "p2"]).select("qid").distinct()
+    return queries.select("qid").join(hits.withColumn("walk", F.lit(1)), "qid", "left").select("qid", F.coalesce("walk", F.lit(0)).alias("walk"))
 
 
 def parity_hop_dfa(spark: SparkSession, k: int) -> DataFrame:

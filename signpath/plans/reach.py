@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpath.durable import stored
+from signpath.durable import stored, tallied
 from signpath.operators import balanced, cascade, components, kernels, labels, paths
 from signpath.operators.graph import vertex_count
 
@@ -23,7 +23,7 @@ _found = {
     "cut_pruned": cascade.cut_pruned,
     "local": kernels.local_search,
     "branch_and_bound": lambda e, q, k: kernels.branch_and_bound(e, q, k).select("qid"),
-    "components": lambda e, q, k: components.by_component(e, q, k).select("qid"),
+    "components": lambda e, q, k: components.by_component(e, q, k).where("len is not null").select("qid"),
 }
 _staged = {"cascade": cascade.staged, "cut_cascade": cascade.staged_by_cuts, "labels": labels.staged_by_labels}
 STRATEGIES = [*_found, *_staged, "balanced"]
@@ -69,6 +69,20 @@ def exact_cases(results: DataFrame) -> DataFrame:
     return results.where("abs(stage) = 3")
 
 
+def steps(edges: DataFrame, queries: DataFrame, k: int, strategy: str) -> DataFrame:
+    """(step, level, rows, hits): what each level of a run wrote, observed as it was written."""
+    with tallied() as tally:
+        reach(edges, queries, k, strategy).write.format("noop").mode("overwrite").save()
+    told = [(x["table"], x["level"], x["rows"], x.get("hits")) for x in tally if x["rows"] and x["level"]]
+    return edges.sparkSession.createDataFrame(told, "step string, level int, rows long, hits long")
+
+
+def blocks_per_query(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """One row: queries that were searched by blocks, their mean and greatest number of blocks."""
+    found = components.by_component(edges, queries, k)
+    return found.agg(F.count("*").alias("queries"), F.round(F.avg("blocks"), 6).alias("mean_blocks"), F.max("blocks").alias("most_blocks"))
+
+
 def summary(edges: DataFrame, results: DataFrame, k: int, strategy: str) -> DataFrame:
-    """One row: the run's counts."""
-    return results.agg(F.lit(strategy).alias("strategy"), F.lit(k).alias("k"), F.lit(edges.count()).cast("bigint").alias("edges"), F.count("*").alias("queries"), F.count_if(F.col("result") == 1).alias("yes"), F.count_if(F.col("result") == 0).alias("no"), F.count_if(F.col("result") == -1).alias("not_asked"))
+    """One row: the run's counts, in all and by outcome; ``exact`` are queries that needed exact search."""
+    return results.agg(F.lit(strategy).alias("strategy"), F.lit(k).alias("k"), F.lit(edges.count()).cast("bigint").alias("edges"), F.count("*").alias("queries"), F.count_if(F.col("result") == 1).alias("yes"), F.count_if(F.col("result") == 0).alias("no"), F.count_if(F.col("result") == -1).alias("not_asked"), F.count_if(F.col("stage") == 2).alias("by_witness"), F.count_if(F.col("stage") == -2).alias("no_walk"), F.count_if(F.abs("stage") == 3).alias("exact"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from signpath.durable import stored
 from signpath.functions.signs import normal_sign
+from signpath.operators.graph import running
 
 
 def parse_edges(lines: DataFrame) -> DataFrame:
@@ -45,12 +47,21 @@ def parse_queries(lines: DataFrame) -> DataFrame:
     return raw.where("s is not null and t is not null and raw is not null").select("qid", "s", "t", F.when(F.col("raw") == 1, 1).otherwise(0).cast("int").alias("sigma"))
 
 
-def read_queries(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """Queries with their line numbers from 0; ``first`` takes that many lines from the head.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): lines with their numbers from 0, files in order of name. Files are read in splits, by many tasks.
 
-    Line numbers need one partition for the whole file; a workload is a small file beside the graph.
+    A line's number is its place in its split and the lines of the splits before, one number a split.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where("value <> ''")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = stored(lines, "lines")
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = splits.select("file", "split", "first", (F.sum("n").over(Window.orderBy("file", "split")) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), ["file", "split"]).select((F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
+
+
+def read_queries(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Queries with their line numbers from 0; ``first`` takes that many lines from the head."""
+    lines = numbered_lines(spark, path).where("value <> ''")
     return parse_queries(lines.where(F.col("line") < first) if first is not None else lines)
 
 
@@ -60,8 +71,8 @@ def shard(queries: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds qid from 1 in the given order; for small workloads, as it needs one partition."""
-    return rows.withColumn("qid", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """Adds qid from 1 in the given order."""
+    return running(rows, F.lit(1), [F.col(c) for c in order], "qid")
 
 
 def write_results(results: DataFrame, path: str, k: int) -> None:
