@@ -5,31 +5,47 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from signpath.shipping import ship
 
-#: Rows that are turned to Python memory at once. Batches are also held under 32 MB where Spark can.
+#: Rows that are turned to Python memory at once.
 BATCH_ROWS = 2000
+#: Bounds of the batches that Spark sends to Python; a task holds some of them inside and outside the JVM's heap.
+BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: T.StructType | str, after: Callable[[], None] | None = None) -> DataFrame:
-    """``make`` gets a batch and returns a value for each column of ``schema`` (numpy or Arrow), or None for no rows; ``after`` runs at a task's end."""
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ``BOUNDS`` where they are larger."""
+    for key, most in BOUNDS.items():
+        size = re.fullmatch(r"(-?\d+)\s*([bkmg]?).*", spark.conf.get(key).lower())
+        now = int(size[1]) << {"k": 10, "m": 20, "g": 30}.get(size[2], 0) if size else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: T.StructType | str, after: Callable[[], None] | None = None, rows: int = BATCH_ROWS) -> DataFrame:
+    """``make`` gets a batch and returns a value for each column of ``schema`` (numpy or Arrow), or None for no rows; it gets ``rows`` at a time.
+
+    ``after`` runs at a task's end.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     fields = to_arrow_schema(schema)
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with trimmed(after):
             for whole in batches:
-                for lo in range(0, whole.num_rows, BATCH_ROWS):
-                    out = make(whole.slice(lo, BATCH_ROWS))
+                for lo in range(0, whole.num_rows, rows):
+                    out = make(whole.slice(lo, rows))
                     if out is not None:
                         yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in fields], schema=fields)
 

@@ -6,12 +6,13 @@ joined in pairs up the same tree. At a join the text around the cut is encoded a
 doubles until its tokens agree with those of the left side and of the right side, in identifier and place, on
 two tokens in a row that are ``GUARD`` characters away from the cut. Left tokens up to there, window tokens, and right tokens
 from there on are the encoding of the whole: each pair of neighbours stands so in an encoding made by the library, and
-BPE merges never look beyond neighbours. If a window reaches both ends it is the whole text itself. Stretches
-without white space longer than ``segment`` are joined by the same tree inside a task.
+BPE merges never look beyond neighbours. If a window reaches both ends it is the whole text itself. Unsplit stretches
+(without white space) longer than ``leaf`` are halved down to ``leaf`` and joined by the same tree inside a task.
 
-Texts and stretches of at most ``segment`` characters are leaves. With a vocabulary that drops white space,
-as ``word_bpe_49k.json`` does, no token depends on anything beyond its stretch of non-white characters, so that
-leaves are encoded stretch by stretch, each distinct one once a batch, with a bounded memory of recent ones.
+With a vocabulary that drops white space, as ``word_bpe_49k.json`` does, no token depends on anything beyond its stretch
+of non-white characters, so that texts of at most ``segment`` bytes are encoded stretch by stretch, each distinct one once
+for some megabytes of text (equal hashes are confirmed by the bytes), with a memory of recent ones that is bounded in
+bytes and ends with the task.
 
 Defined cases: null and empty texts, and those of white space alone, have no tokens: the digests are those of the empty
 string. Strings of special tokens inside a text become those tokens, as in the library. Repeated rows are encoded each
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .arrowmap import arrow_map
+from .arrowmap import arrow_map, trimmed
 from .shared import stored
 
 GUARD = 32
@@ -48,11 +49,19 @@ def default_vocabulary() -> str:
 
 @dataclass(frozen=True)
 class Params:
-    """Vocabulary file, longest leaf in characters, and how many stretches a task remembers."""
+    """Vocabulary file, longest segment of a text and longest leaf of an unsplit stretch in characters, and the bytes that a task remembers."""
 
     vocabulary: str = ""
     segment: int = 32768
-    memory: int = 600_000
+    leaf: int = 4096
+    memory: int = 16 << 20
+
+
+#: Bytes of texts whose distinct stretches are found together, and about what Python needs for a remembered stretch besides its strings.
+TOGETHER = 1 << 20
+OVERHEAD = 300
+#: Long texts or segments that a task turns to tokens before it hands them on.
+LONG_ROWS = 16
 
 
 @dataclass
@@ -80,17 +89,21 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            told = json.load(f)
+            told = json.loads(f.read().split('"model":')[0].rstrip().rstrip(",") + "}")  # what stands before the vocabulary
         #: Whether white space only divides: its tokens are dropped and decoding puts blanks between tokens.
         self.divides = told.get("decoder") is None and "\\s\\p{L}\\p{N}" in json.dumps(told.get("pre_tokenizer")).replace("\\\\", "\\") and '"Removed"' in json.dumps(told.get("pre_tokenizer"))
-        #: Stretch hash to (identifiers, decoded text); the older half goes first when full.
-        self.young: dict[int, tuple[str, str]] = {}
-        self.old: dict[int, tuple[str, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: Stretch to (identifiers, decoded text); the older half goes first when full.
+        self.young: dict[bytes, tuple[str, str]] = {}
+        self.old: dict[bytes, tuple[str, str]] = {}
+        self.size = 0
 
     def library(self, text: str) -> Encoded:
         e = self.tok.encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-        return Encoded(np.array(e.ids, np.int64), spans[:, 0], spans[:, 1])
+        spans = np.array(e.offsets, np.int32).reshape(-1, 2)
+        return Encoded(np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
 
     def decode(self, ids: list[int]) -> str:
         return self.tok.decode(ids, skip_special_tokens=False)
@@ -111,7 +124,7 @@ class Encoder:
                 pairs.append(parts[-1])
                 spans.append(at[-1])
             parts, at = pairs, spans
-        return parts[0] if parts else Encoded(*[np.zeros(0, np.int64)] * 3)
+        return parts[0] if parts else Encoded(*[np.zeros(0, np.int32)] * 3)
 
     def join(self, text: str, left: Encoded, right: Encoded, a: int, cut: int, b: int) -> Encoded:
         width = FIRST_WINDOW
@@ -142,51 +155,61 @@ class Encoder:
         ids, ends = e.ids, np.searchsorted(owner, np.arange(len(words) + 1))
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def known(self, hashes: list[int], words) -> list[tuple[str, str]]:
-        """(identifiers, decoded text) of stretches; ``words(i)`` gives the bytes of the i-th."""
+    def known(self, words: list[bytes]) -> list[tuple[str, str]]:
+        """(identifiers, decoded text) of distinct stretches."""
         young, old, missing = self.young, self.old, []
-        for i, h in enumerate(hashes):
-            if h not in young:
-                if h in old:
-                    young[h] = old[h]
-                else:
-                    missing.append(i)
+        out: list = [None] * len(words)
+        for i, w in enumerate(words):
+            got = young.get(w)
+            if got is None:
+                got = old.get(w)
+                if got is not None:
+                    self._remember(w, got)
+            if got is None:
+                missing.append(i)
+            else:
+                out[i] = got
         for lo in range(0, len(missing), 8192):
             some = missing[lo : lo + 8192]
-            texts = [words(i).decode("utf-8", "replace") for i in some]
-            long = [len(x) > self.p.segment for x in texts]
+            texts = [words[i].decode("utf-8", "replace") for i in some]
+            long = [len(x) > self.p.leaf for x in texts]
             found = iter(self.stretches([x for x, y in zip(texts, long, strict=True) if not y]))
-            ids = [self.tree(x).ids.tolist() if y else next(found) for x, y in zip(texts, long, strict=True)]
-            for i, own, out in zip(some, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-                young[hashes[i]] = (" ".join(map(str, own)), out)
-        got = [young[h] for h in hashes]
-        if len(young) > self.p.memory // 2:
-            self.old, self.young = young, {}
-        return got
-
-    def told(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
-        """Identifiers joined by blanks, and the decoded text, of each leaf.
-
-        Stretches are found and hashed in numpy over all leaves, so that Python handles each distinct one once a batch.
+            ids = [self.tree(x, self.p.leaf).ids.tolist() if y else next(found) for x, y in zip(texts, long, strict=True)]
+            for i, own, told in zip(some, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
+                out[i] = (" ".join(map(str, own)), told)
+                self._remember(words[i], out[i])
+        return out
+
+    def _remember(self, word: bytes, got: tuple[str, str]) -> None:
+        size = len(word) + len(got[0]) + 4 * len(got[1]) + OVERHEAD
+        if size > self.p.memory // 8:
+            return
+        if self.size + size > self.p.memory // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[word] = got
+        self.size += size
+
+    def told(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, str]]:
+        """Identifiers joined by blanks, and the decoded text, of each text.
+
+        Stretches are found and hashed in numpy over many texts, so that Python handles each distinct one once.
         """
         if not self.divides:
-            out = []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                ids = self.tree(data[a:b].tobytes().decode()).ids.tolist()
-                out.append((" ".join(map(str, ids)), self.decode(ids)))
-            return out
-        hashes, starts, ends = [], [], []
-        for lo, hi in K.groups(offsets):
-            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            a, b = K.spans(part, at)
-            hashes.append(K.Running(part).span(a, b))
-            starts.append(a + offsets[lo])
-            ends.append(b + offsets[lo])
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        hashes, starts, ends = join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+                ids = self.tree(data[a:b].tobytes().decode(), self.p.segment).ids.tolist()
+                yield " ".join(map(str, ids)), self.decode(ids)
+            return
+        for lo, hi in K.groups(offsets, TOGETHER):
+            yield from self._told(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+    def _told(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
+        starts, ends = K.spans(data, offsets)
+        _, first, place = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        for i in np.flatnonzero(~K.same_spans(data, starts, ends, starts[first[place]], ends[first[place]])):  # a hash of two stretches
+            place[i] = len(first)
+            first = np.append(first, i)
         raw = data.tobytes()
-        got = self.known(distinct.tolist(), lambda i: raw[starts[first[i]] : ends[first[i]]])
+        got = self.known([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         ids, texts = np.empty(len(got), object), np.empty(len(got), object)
         ids[:], texts[:] = [x[0] for x in got], [x[1] for x in got]
         blank = ids == ""
@@ -250,12 +273,17 @@ _encoders: dict[Params, Encoder] = {}
 
 
 def encoder(p: Params) -> Encoder:
-    """One encoder for each worker process."""
+    """One encoder for each task."""
     if p not in _encoders:
         _encoders[p] = Encoder(p)
     return _encoders[p]
 
 
+def _forget() -> None:
+    """Drop the encoders at a task's end: other stages run in the same processes."""
+    _encoders.clear()
+
+
 def _digest(ids: str, text: str) -> tuple[int, str, str]:
     return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
@@ -267,21 +295,38 @@ def digests(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_tokens and the digests of identifiers and decoded text of every row."""
 
     def leaves(batch: pa.RecordBatch) -> dict:
-        e = encoder(p)
-        got = [_digest(*x) for x in e.told(*K.column(batch.column("text")))]
+        got = [_digest(*x) for x in encoder(p).told(*K.column(batch.column("text")))]
         return dict(zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), [batch.column("doc_id"), *([list(x) for x in zip(*got, strict=True)] or [[], [], []])], strict=True))
 
-    def finish(key, rows):
-        import pandas as pd
-
-        text, part = _assembled(rows, encoder(p))
-        ids = part.ids.tolist()
-        n, a, b = _digest(" ".join(map(str, ids)), encoder(p).decode(ids))
-        return pd.DataFrame({"doc_id": pd.array([rows["doc_id"].iloc[0]], "Int64"), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over the segments sorted by text: one text is held at a time."""
+        with trimmed(_forget):
+            for rows in _runs(batches):
+                e = encoder(p)
+                ids = _assembled(rows, e)[1].ids.tolist()
+                n, a, b = _digest(" ".join(map(str, ids)), e.decode(ids))
+                values = [rows.column("doc_id").slice(0, 1).combine_chunks(), pa.array([n]), pa.array([a]), pa.array([b])]
+                yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
-    short = arrow_map(rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= p.segment), leaves, RESULT)
-    return short.unionByName(encoded_segments(rows.where(F.octet_length("text") > p.segment), p).groupBy("key").applyInPandas(finish, RESULT))
+    short = arrow_map(rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= p.segment), leaves, RESULT, _forget)
+    parts = encoded_segments(rows.where(F.octet_length("text") > p.segment), p)
+    return short.unionByName(parts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(finish, RESULT))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one key after the other, of batches sorted by it."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if rest and rest[0].column("key")[0].as_py() != keys[a]:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if rest:
+        yield pa.concat_tables(rest)
 
 
 def encoded_segments(long: DataFrame, p: Params = Params()) -> DataFrame:
@@ -295,18 +340,19 @@ def encoded_segments(long: DataFrame, p: Params = Params()) -> DataFrame:
 
     def encode(batch: pa.RecordBatch) -> dict:
         e = [encoder(p).library(x) for x in batch.column("text").to_pylist()]
-        return {c: batch.column(c) for c in ("key", "doc_id", "part", "text")} | {n: pa.array([getattr(x, n).astype(np.int32) for x in e], pa.list_(pa.int32())) for n in ("ids", "starts", "ends")}
+        return {c: batch.column(c) for c in ("key", "doc_id", "part", "text")} | {n: pa.array([getattr(x, n) for x in e], pa.list_(pa.int32())) for n in ("ids", "starts", "ends")}
 
     keyed = stored(long.withColumn("key", F.monotonically_increasing_id()), "long-texts")
-    pieces = arrow_map(keyed, split, "key long, doc_id long, part int, text string")
-    return arrow_map(pieces.repartition("key", "part"), encode, "key long, doc_id long, part int, text string, ids array<int>, starts array<int>, ends array<int>")
+    pieces = arrow_map(keyed, split, "key long, doc_id long, part int, text string", rows=LONG_ROWS)
+    return arrow_map(pieces.repartition("key", "part"), encode, "key long, doc_id long, part int, text string, ids array<int>, starts array<int>, ends array<int>", _forget, LONG_ROWS)
 
 
-def _assembled(rows, e: Encoder) -> tuple[str, Encoded]:
-    rows = rows.sort_values("part")
-    texts = rows["text"].tolist()
+def _assembled(rows: pa.Table, e: Encoder) -> tuple[str, Encoded]:
+    rows = rows.sort_by("part").combine_chunks()
+    texts = rows.column("text").to_pylist()
     ends = np.cumsum([len(x) for x in texts])
     at = [(int(b) - len(x), int(b)) for x, b in zip(texts, ends, strict=True)]
-    parts = [Encoded(*[np.asarray(rows[n].iloc[i], np.int64) for n in ("ids", "starts", "ends")]).moved(a) for i, (a, _) in enumerate(at)]
+    flat = lambda n, i: rows.column(n)[i].values.to_numpy()
+    parts = [Encoded(*[flat(n, i) for n in ("ids", "starts", "ends")]).moved(a) for i, (a, _) in enumerate(at)]
     text = "".join(texts)
     return text, e.joined(text, parts, at)

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from signpath.shipping import ship
 
-from .arrowmap import trimmed
+from .arrowmap import bound_batches, trimmed
 from .components import connected
 from .shared import stored
 
@@ -283,6 +283,7 @@ def _meetings(kind: str, blocks: int, p: Params, schema: pa.Schema):
 def near_duplicates(embeddings: DataFrame, p: Params = Params()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     ship(embeddings.sparkSession)
+    bound_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     kind = "f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
     told = rows.agg(F.count("vec_id").alias("n"), F.countDistinct("vec_id").alias("d")).first()
