@@ -111,3 +111,102 @@ def test_whole_graph_queries_leave_no_order_out(spark, tmp_path):
         got = sorted((r.s, r.t, r.sigma, r.result) for r in q[name](spark, at).collect())
         assert got == [(s, t, g, answer(edges, s, t, g, 6, 8)) for s, t, g in asked]
     assert {(r.edges, r.queries) for r in q["run_summary_whole"](spark, at).collect()} == {(len(edges), len(asked))}
+
+
+def test_blocks_equal_a_plain_definition():
+    """Two edges are in one block if no vertex parts them: they are joined when any one vertex is taken away, but for their own ends."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(30):
+        n = rng.randint(3, 8)
+        pairs = sorted({(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.35})
+        got = kernels.blocks_of(pairs)
+
+        def together(i, j):
+            """Whether some simple circuit goes through both edges (or they are the same)."""
+            if i == j:
+                return True
+            (a, b), (c, d) = pairs[i], pairs[j]
+            arcs = [(x, y, 1) for k, (x, y) in enumerate(pairs) if k != i] + [(y, x, 1) for k, (x, y) in enumerate(pairs) if k != i]
+
+            def ways(v, path):
+                if v == b:
+                    yield path
+                    return
+                for x, y, _ in arcs:
+                    if x == v and y not in path:
+                        yield from ways(y, [*path, y])
+
+            return any({c, d} in [{x, y} for x, y in zip(p, p[1:], strict=False)] for p in ways(a, [a]))
+
+        for i in range(len(pairs)):
+            for j in range(i):
+                assert (got[i] == got[j]) == together(i, j), pairs
+
+
+def test_search_by_blocks_equals_enumeration():
+    import random
+
+    from .brute import simple_paths
+
+    rng = random.Random(7)
+    for _ in range(150):
+        n = rng.randint(2, 8)
+        edges = [(a, b, g) for a in range(n) for b in range(n) if a != b for g in (0, 1) if rng.random() < 0.16]
+        for sigma in (0, 1):
+            sizes = [size for par, size in simple_paths(edges, 0, n - 1, 6) if par == sigma]
+            assert kernels.shortest_by_blocks(edges, 0, n - 1, sigma, 6)[0] == min(sizes, default=None), edges
+
+
+def test_blocks_of_a_chain(spark):
+    edges = [(0, 1, 1), (1, 2, 1), (2, 0, 0), (1, 3, 0), (3, 4, 1), (4, 1, 1)]
+    assert [(s, t) for _, s, t in kernels.block_chain(sorted({(min(a, b), max(a, b)) for a, b, _ in edges}), 0, 4)] == [(0, 1), (1, 4)]
+    assert kernels.block_chain([(0, 1), (2, 3)], 0, 3) == []
+    from signpath.plans.reach import blocks_per_query
+
+    e, q = spark.createDataFrame(edges, EDGES), spark.createDataFrame([(0, 0, 4, 1), (1, 2, 1, 0)], "qid long, s long, t long, sigma int")
+    assert blocks_per_query(e, q, 4).first().most_blocks == 2
+
+
+def test_ranks_and_lines_do_not_depend_on_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = {r.v: r.sum for r in graph.running(rows, F.col("v"), [F.col("v")], "sum").collect()}
+    total = 0
+    for v in sorted(got):
+        total += v
+        assert got[v] == total
+    (tmp_path / "q.txt").write_text("".join(f"{i},{i + 1},1\n" if i % 3 else "\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        q = text.read_queries(spark, str(tmp_path / "q.txt"))
+        assert sorted((r.qid, r.s) for r in q.collect()) == [(i, i) for i in range(5000) if i % 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from signpath.durable import shared_dir
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
+
+
+def test_steps_count_what_levels_wrote(spark):
+    from signpath.plans.reach import steps
+
+    e = spark.createDataFrame([(0, 1, 1), (1, 2, 0), (0, 2, 1), (2, 3, 1)], EDGES)
+    q = spark.createDataFrame([(0, 0, 3, 0), (1, 0, 2, 1)], "qid long, s long, t long, sigma int")
+    assert sorted(map(tuple, steps(e, q, 4, "exhaustive").collect())) == [("paths", 1, 4, 1), ("paths", 2, 2, 0), ("paths", 3, 1, 1)]
