@@ -49,16 +49,16 @@ def default_vocabulary() -> str:
 
 @dataclass(frozen=True)
 class Params:
-    """Vocabulary file, longest segment of a text and longest leaf of an unsplit stretch in characters, and the bytes that a task remembers."""
+    """Vocabulary file, longest segment of a text and longest leaf of an unsplit stretch in characters, the bytes that a task remembers, and the bytes of texts whose distinct stretches are found together."""
 
     vocabulary: str = ""
     segment: int = 32768
     leaf: int = 4096
-    memory: int = 16 << 20
+    memory: int = 32 << 20
+    together: int = 4 << 20
 
 
-#: Bytes of texts whose distinct stretches are found together, and about what Python needs for a remembered stretch besides its strings.
-TOGETHER = 1 << 20
+#: About what Python needs for a remembered stretch besides its strings.
 OVERHEAD = 300
 #: Long texts or segments that a task turns to tokens before it hands them on.
 LONG_ROWS = 16
@@ -155,8 +155,8 @@ class Encoder:
         ids, ends = e.ids, np.searchsorted(owner, np.arange(len(words) + 1))
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def known(self, words: list[bytes]) -> list[tuple[str, str]]:
-        """(identifiers, decoded text) of distinct stretches."""
+    def known(self, words: list[bytes], often: list[bool]) -> list[tuple[str, str]]:
+        """(identifiers, decoded text) of distinct stretches; of new ones only those seen ``often`` are remembered."""
         young, old, missing = self.young, self.old, []
         out: list = [None] * len(words)
         for i, w in enumerate(words):
@@ -177,7 +177,8 @@ class Encoder:
             ids = [self.tree(x, self.p.leaf).ids.tolist() if y else next(found) for x, y in zip(texts, long, strict=True)]
             for i, own, told in zip(some, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
                 out[i] = (" ".join(map(str, own)), told)
-                self._remember(words[i], out[i])
+                if often[i]:
+                    self._remember(words[i], out[i])
         return out
 
     def _remember(self, word: bytes, got: tuple[str, str]) -> None:
@@ -199,7 +200,7 @@ class Encoder:
                 ids = self.tree(data[a:b].tobytes().decode(), self.p.segment).ids.tolist()
                 yield " ".join(map(str, ids)), self.decode(ids)
             return
-        for lo, hi in K.groups(offsets, TOGETHER):
+        for lo, hi in K.groups(offsets, self.p.together):
             yield from self._told(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
     def _told(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
@@ -209,7 +210,7 @@ class Encoder:
             place[i] = len(first)
             first = np.append(first, i)
         raw = data.tobytes()
-        got = self.known([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        got = self.known([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], (np.bincount(place, minlength=len(first)) > 1).tolist())
         ids, texts = np.empty(len(got), object), np.empty(len(got), object)
         ids[:], texts[:] = [x[0] for x in got], [x[1] for x in got]
         blank = ids == ""

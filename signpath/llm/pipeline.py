@@ -46,8 +46,11 @@ def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token count and digests of every row; null and empty texts have no tokens."""
-    return bpe.digests(docs)
+    """doc_id, token count and digests of every row; null and empty texts have no tokens.
+
+    The encoder remembers less than by itself, as executors have grown in the stages before.
+    """
+    return bpe.digests(docs, bpe.Params(memory=16 << 20, together=1 << 20))
 
 
 STAGES = [("quality_rules", quality), ("line_frequency", lines), ("near_duplicates", near_duplicates), ("source_mixing", sources), ("bpe_encoding", encode)]
