@@ -54,8 +54,10 @@ class Params:
     vocabulary: str = ""
     segment: int = 32768
     leaf: int = 4096
-    memory: int = 32 << 20
-    together: int = 4 << 20
+    memory: int = 128 << 20
+    together: int = 8 << 20
+    #: Whether the tokenizer itself, some 30 MB, stays in the process for the next task.
+    keep: bool = True
 
 
 #: About what Python needs for a remembered stretch besides its strings.
@@ -274,15 +276,18 @@ _encoders: dict[Params, Encoder] = {}
 
 
 def encoder(p: Params) -> Encoder:
-    """One encoder for each task."""
+    """One encoder for each process or task."""
     if p not in _encoders:
         _encoders[p] = Encoder(p)
     return _encoders[p]
 
 
 def _forget() -> None:
-    """Drop the encoders at a task's end: other stages run in the same processes."""
-    _encoders.clear()
+    """Drop what was remembered, and encoders that aren't kept, at a task's end: other stages run in the same processes."""
+    for p, e in list(_encoders.items()):
+        e.forget()
+        if not p.keep:
+            del _encoders[p]
 
 
 def _digest(ids: str, text: str) -> tuple[int, str, str]:

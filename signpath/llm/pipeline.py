@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The encoder remembers less than by itself, as executors have grown in the stages before.
     """
-    return bpe.digests(docs, bpe.Params(memory=16 << 20, together=1 << 20))
+    return bpe.digests(docs, bpe.Params(memory=16 << 20, together=1 << 20, keep=False))
 
 
 STAGES = [("quality_rules", quality), ("line_frequency", lines), ("near_duplicates", near_duplicates), ("source_mixing", sources), ("bpe_encoding", encode)]
