@@ -50,11 +50,9 @@ def _blocks(data: np.ndarray) -> np.ndarray:
     return padded.view("<u8")
 
 
-def _load(blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place ``at`` on."""
-    low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
-    # Two shifts, as a shift by 64 isn't one.
-    return (blocks[low] >> shift) | ((blocks[low + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+def _sliding(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a view; zeros follow the data."""
+    return np.ndarray(len(data) + 9, "<u8", _blocks(data).view(np.uint8), strides=(1,))
 
 
 def _long_hash(data: np.ndarray, lower: bool, family: int) -> np.uint64:
@@ -71,7 +69,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of the bytes of each span [start, end). Hashes of different ``family`` are independent."""
     size = ends - starts
     out = np.zeros(len(starts), np.uint64)
-    blocks = _blocks(LOWER[data] if lower else data)
+    blocks = _sliding(LOWER[data] if lower else data)
     keys = _keys(0, _SIDE_BY_SIDE, family)
     live, at, left = np.flatnonzero((size > 0) & (size <= 8 * _SIDE_BY_SIDE)), starts, size
     for k in range(_SIDE_BY_SIDE):
@@ -81,7 +79,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
             break
         whole = len(live) == len(out)
         at, left = (starts, size) if whole else (starts[live], size[live])
-        block = mix((_load(blocks, at + 8 * k) & _MASKS[np.minimum(left - 8 * k, 8)]) + keys[k])
+        block = mix((blocks[at + 8 * k] & _MASKS[np.minimum(left - 8 * k, 8)]) + keys[k])
         if whole:
             out += block
         else:
@@ -96,7 +94,7 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
     """Whether each span [start, end) has the bytes of the span at the same place of the second list."""
     size = ends - starts
     same = size == other_ends - others
-    blocks = _blocks(data)
+    blocks = _sliding(data)
     live = np.flatnonzero(same & (starts != others) & (size > 0))
     for i in live[size[live] > 8 * _SIDE_BY_SIDE]:
         same[i] = np.array_equal(data[starts[i] : ends[i]], data[others[i] : other_ends[i]])
@@ -105,7 +103,7 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
         live = live[size[live] > 8 * k]
         if not len(live):
             break
-        differ = (_load(blocks, starts[live] + 8 * k) ^ _load(blocks, others[live] + 8 * k)) & _MASKS[np.minimum(size[live] - 8 * k, 8)]
+        differ = (blocks[starts[live] + 8 * k] ^ blocks[others[live] + 8 * k]) & _MASKS[np.minimum(size[live] - 8 * k, 8)]
         same[live[differ != 0]] = False
     return same
 
