@@ -22,6 +22,7 @@ by itself. An empty table gives an empty result. Columns besides doc_id and text
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import unicodedata
@@ -61,7 +62,7 @@ class Params:
 
 
 #: About what Python needs for a remembered stretch besides its strings.
-OVERHEAD = 300
+OVERHEAD = 200
 #: Long texts or segments that a task turns to tokens before it hands them on.
 LONG_ROWS = 16
 
@@ -94,18 +95,24 @@ class Encoder:
             told = json.loads(f.read().split('"model":')[0].rstrip().rstrip(",") + "}")  # what stands before the vocabulary
         #: Whether white space only divides: its tokens are dropped and decoding puts blanks between tokens.
         self.divides = told.get("decoder") is None and "\\s\\p{L}\\p{N}" in json.dumps(told.get("pre_tokenizer")).replace("\\\\", "\\") and '"Removed"' in json.dumps(told.get("pre_tokenizer"))
+        if self.divides:
+            vocabulary = self.tok.get_vocab(with_added_tokens=True)
+            size = max(vocabulary.values(), default=-1) + 1
+            #: What is written for each identifier, and what it decodes to, each with the blank that divides it from the next.
+            self.numbers = pa.array([f"{i} " for i in range(size)], pa.large_string())
+            self.names = pa.array([f"{self.tok.id_to_token(i)} " for i in range(size)], pa.large_string())
         self.forget()
 
     def forget(self) -> None:
-        #: Stretch to (identifiers, decoded text); the older half goes first when full.
-        self.young: dict[bytes, tuple[str, str]] = {}
-        self.old: dict[bytes, tuple[str, str]] = {}
+        #: Stretch to identifiers; the older half goes first when full.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.size = 0
 
     def library(self, text: str) -> Encoded:
         e = self.tok.encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int32).reshape(-1, 2)
-        return Encoded(np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
+        starts, ends = _places(e.offsets)
+        return Encoded(np.array(e.ids, np.int32), starts.astype(np.int32), ends.astype(np.int32))
 
     def decode(self, ids: list[int]) -> str:
         return self.tok.decode(ids, skip_special_tokens=False)
@@ -145,46 +152,40 @@ class Encoder:
                 return Encoded(pick("ids"), pick("starts"), pick("ends"))
             width *= 2
 
-    def stretches(self, words: list[str]) -> list[list[int]]:
-        """Identifiers of each of many stretches without white space, from one call on all of them."""
+    def stretches(self, words: list[str]) -> list[bytes]:
+        """Identifiers of each of many stretches without white space, as bytes of 32-bit numbers, from one call on all of them."""
         text, sizes = " ".join(words), np.array([len(w) + 1 for w in words], np.int64)
         begin = np.cumsum(sizes) - sizes
         e = self.tok.encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-        owner = np.searchsorted(begin, spans[:, 0], side="right") - 1
-        if (owner != np.searchsorted(begin, spans[:, 1] - 1, side="right") - 1).any() or (np.diff(owner) < 0).any():
-            return [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]
-        ids, ends = e.ids, np.searchsorted(owner, np.arange(len(words) + 1))
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def known(self, words: list[bytes], often: list[bool]) -> list[tuple[str, str]]:
-        """(identifiers, decoded text) of distinct stretches; of new ones only those seen ``often`` are remembered."""
-        young, old, missing = self.young, self.old, []
-        out: list = [None] * len(words)
-        for i, w in enumerate(words):
-            got = young.get(w)
-            if got is None:
-                got = old.get(w)
+        starts, ends = _places(e.offsets)
+        owner = np.searchsorted(begin, starts, side="right") - 1
+        if (owner != np.searchsorted(begin, ends - 1, side="right") - 1).any() or (np.diff(owner) < 0).any():
+            return [np.array(x.ids, np.int32).tobytes() for x in self.tok.encode_batch(words, add_special_tokens=False)]
+        ids, at = np.array(e.ids, np.int32).tobytes(), (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def known(self, words: list[bytes], often: list[bool]) -> list[bytes]:
+        """Identifiers of distinct stretches, as bytes of 32-bit numbers; of new ones only those seen ``often`` are remembered."""
+        out, old = list(map(self.young.get, words)), self.old
+        missing = [i for i, got in enumerate(out) if got is None]
+        if old:
+            for i in missing:
+                got = out[i] = old.get(words[i])
                 if got is not None:
-                    self._remember(w, got)
-            if got is None:
-                missing.append(i)
-            else:
-                out[i] = got
+                    self._remember(words[i], got)
+            missing = [i for i in missing if out[i] is None]
         for lo in range(0, len(missing), 8192):
             some = missing[lo : lo + 8192]
             texts = [words[i].decode("utf-8", "replace") for i in some]
-            long = [len(x) > self.p.leaf for x in texts]
-            found = iter(self.stretches([x for x, y in zip(texts, long, strict=True) if not y]))
-            ids = [self.tree(x, self.p.leaf).ids.tolist() if y else next(found) for x, y in zip(texts, long, strict=True)]
-            for i, own, told in zip(some, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-                out[i] = (" ".join(map(str, own)), told)
+            found = iter(self.stretches([x for x in texts if len(x) <= self.p.leaf]))
+            for i, x in zip(some, texts, strict=True):
+                out[i] = next(found) if len(x) <= self.p.leaf else self.tree(x, self.p.leaf).ids.astype(np.int32).tobytes()
                 if often[i]:
                     self._remember(words[i], out[i])
         return out
 
-    def _remember(self, word: bytes, got: tuple[str, str]) -> None:
-        size = len(word) + len(got[0]) + 4 * len(got[1]) + OVERHEAD
+    def _remember(self, word: bytes, got: bytes) -> None:
+        size = len(word) + len(got) + OVERHEAD
         if size > self.p.memory // 8:
             return
         if self.size + size > self.p.memory // 2:
@@ -192,20 +193,24 @@ class Encoder:
         self.young[word] = got
         self.size += size
 
-    def told(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, str]]:
-        """Identifiers joined by blanks, and the decoded text, of each text.
+    def told(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes | np.ndarray, bytes | np.ndarray]]:
+        """Number of tokens, identifiers joined by blanks, and the decoded text of each text, the latter two in UTF-8.
 
         Stretches are found and hashed in numpy over many texts, so that Python handles each distinct one once.
         """
         if not self.divides:
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                ids = self.tree(data[a:b].tobytes().decode(), self.p.segment).ids.tolist()
-                yield " ".join(map(str, ids)), self.decode(ids)
+                yield self.spelled(self.tree(data[a:b].tobytes().decode(), self.p.segment))
             return
         for lo, hi in K.groups(offsets, self.p.together):
             yield from self._told(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
-    def _told(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
+    def spelled(self, e: Encoded) -> tuple[int, bytes, bytes]:
+        """As ``told`` gives it."""
+        ids = e.ids.tolist()
+        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+
+    def _told(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         starts, ends = K.spans(data, offsets)
         _, first, place = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         for i in np.flatnonzero(~K.same_spans(data, starts, ends, starts[first[place]], ends[first[place]])):  # a hash of two stretches
@@ -213,15 +218,25 @@ class Encoder:
             first = np.append(first, i)
         raw = data.tobytes()
         got = self.known([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], (np.bincount(place, minlength=len(first)) > 1).tolist())
-        ids, texts = np.empty(len(got), object), np.empty(len(got), object)
-        ids[:], texts[:] = [x[0] for x in got], [x[1] for x in got]
-        blank = ids == ""
-        if blank.any():  # stretches without tokens leave no blank behind
-            full = ~blank[place]
-            place, starts = place[full], starts[full]
-        at = np.searchsorted(starts, offsets).tolist()
-        ids, texts = ids[place].tolist(), texts[place].tolist()
-        return [(" ".join(ids[a:b]), " ".join(texts[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+        sizes = np.array([len(x) // 4 for x in got], np.int64)
+        counts = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(got), np.int32)[np.arange(upto[-1]) + np.repeat(begin[place] - upto[:-1], counts)]
+        at = upto[np.searchsorted(starts, offsets)]
+        yield from zip(np.diff(at).tolist(), _lines(self.numbers, ids, at), _lines(self.names, ids, at), strict=True)
+
+
+def _places(offsets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    spans = np.fromiter(itertools.chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1]
+
+
+def _lines(words: pa.Array, ids: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """For each range between neighbouring ``at`` the words of its identifiers, which end in a blank, without the last blank, in UTF-8."""
+    data, edges = K.column(words.take(pa.array(ids)))
+    edges = edges[at].tolist()
+    return (data[a : max(a, b - 1)] for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
 def _agreed(one: Encoded, two: Encoded, least: int | None, most: int | None) -> tuple[int, int] | None:
@@ -290,8 +305,8 @@ def _forget() -> None:
             del _encoders[p]
 
 
-def _digest(ids: str, text: str) -> tuple[int, str, str]:
-    return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def _digest(n: int, ids: bytes | np.ndarray, text: bytes | np.ndarray) -> tuple[int, str, str]:
+    return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -309,8 +324,7 @@ def digests(docs: DataFrame, p: Params = Params()) -> DataFrame:
         with trimmed(_forget):
             for rows in _runs(batches):
                 e = encoder(p)
-                ids = _assembled(rows, e)[1].ids.tolist()
-                n, a, b = _digest(" ".join(map(str, ids)), e.decode(ids))
+                n, a, b = _digest(*e.spelled(_assembled(rows, e)[1]))
                 values = [rows.column("doc_id").slice(0, 1).combine_chunks(), pa.array([n]), pa.array([a]), pa.array([b])]
                 yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -515,7 +515,7 @@ def test_encoder_memory_is_bounded_and_ends_with_the_task():
     first = e.known(words[:50], [True] * 50)
     e.known(words, [True] * len(words))
     assert e.known(words[:50], [False] * 50) == first
-    held = sum(len(w) + len(a) + len(b) + bpe.OVERHEAD for part in (e.young, e.old) for w, (a, b) in part.items())
+    held = sum(len(w) + len(ids) + bpe.OVERHEAD for part in (e.young, e.old) for w, ids in part.items())
     assert 0 < held <= 1 << 20
     bpe._forget()
     assert not e.young and not e.old and e.p not in bpe._encoders
