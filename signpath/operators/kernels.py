@@ -170,8 +170,9 @@ def blocks_of(arcs: list[tuple[int, int]]) -> list[int]:
                             own.append(trail.pop())
                             if own[-1] == came:
                                 break
+                        least = min(own)
                         for i in own:
-                            block[i] = min(own)
+                            block[i] = least
     return block
 
 

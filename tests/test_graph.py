@@ -145,6 +145,14 @@ def test_blocks_equal_a_plain_definition():
                 assert (got[i] == got[j]) == together(i, j), pairs
 
 
+def test_a_large_block_takes_time_in_proportion():
+    import time
+
+    n, began = 40_000, time.process_time()
+    assert set(kernels.blocks_of([(i, i + 1) for i in range(n - 1)] + [(0, n - 1)])) == {0}
+    assert time.process_time() - began < 15
+
+
 def test_search_by_blocks_equals_enumeration():
     import random
 
