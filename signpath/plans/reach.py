@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signpath.durable import stored, tallied
-from signpath.operators import balanced, cascade, components, kernels, labels, paths
+from signpath.operators import balanced, cascade, components, intask, kernels, labels, paths
 from signpath.operators.graph import vertex_count
 
 _found = {
@@ -49,6 +49,8 @@ def reach(edges: DataFrame, queries: DataFrame, k: int, strategy: str = "cascade
     open_ = q.where("decided is null").drop("decided")
     if strategy == "balanced":
         hit = balanced.balanced_search(edges, open_.where("sigma = 1"), k).withColumn("stage", F.lit(1))
+    elif strategy in intask.KERNELS and intask.fits(edges, k, whole=intask.KERNELS[strategy] is intask.halves):
+        hit = intask.found(edges, open_, k, strategy)
     elif strategy in _found:
         hit = (_found[strategy](edges, open_, k) if k else open_.select("qid").limit(0)).withColumn("stage", F.lit(1))
     else:
