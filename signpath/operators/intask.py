@@ -426,7 +426,9 @@ def _staged(exact: Callable[[Graph, Batch, int], np.ndarray]) -> Callable[[Graph
 #: What finds each strategy's answers: true or false, or outcome codes for the staged ones.
 KERNELS = {
     "exhaustive": halves,
+    "cut_pruned": cut_guided,
     "cascade": _staged(guided),
+    "cut_cascade": _staged(cut_guided),
 }
 
 
