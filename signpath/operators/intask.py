@@ -426,6 +426,11 @@ def _staged(exact: Callable[[Graph, Batch, int], np.ndarray]) -> Callable[[Graph
 #: What finds each strategy's answers: true or false, or outcome codes for the staged ones.
 KERNELS = {
     "exhaustive": halves,
+    "bidirectional": halves,
+    "distance_pruned": guided,
+    # A state of hops and parity can still accept if a walk of the missing sign is no longer than the hops that remain.
+    "automaton": guided,
+    "two_sided": lambda g, q, k: guided(g, q, k, signed=False),
     "cut_pruned": cut_guided,
     "cascade": _staged(guided),
     "cut_cascade": _staged(cut_guided),

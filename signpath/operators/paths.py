@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from signpath.durable import counted, rows_of, seen, stored
 from signpath.functions.signs import meets_only_once, product
 
+from . import intask
 from .graph import reverse, sized
 from .walks import ball, product_candidates, signed_ball
 
@@ -167,6 +168,8 @@ def automaton(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def counts_by_sign(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, len, par, paths): how many simple paths from s to t there are of each length and sign."""
+    if intask.fits(edges, k, whole=True):
+        return intask.counts_by_sign(edges, queries, k)
     now, found, e = start(queries), [], sized(edges)
     for _ in range(k):
         now = stored(expand(now, e), "all-paths")
