@@ -2,6 +2,7 @@
 
 Each takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Columns besides doc_id, text and source, of any
 name, pass through all stages but the last. Empty tables give empty results. Null and empty texts are rejected by the first stage.
+Each stage begins with executors that have given back what the stage before left free in their heaps.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, jaccard, linefreq, mixing, rules
-from .shared import discard, stored, table
+from .shared import discard, release, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null, empty or short text is rejected; a null doc_id is judged like any other; repeated rows are judged each by itself.
     """
+    release(spark)
     return rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
@@ -25,6 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null, a text of boilerplate alone becomes empty; a null source is a source of its own.
     """
+    release(spark)
     return linefreq.drop_boilerplate(docs)
 
 
@@ -34,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words link with nothing and stay. Of rows with equal doc_id and text one stays. A row without doc_id stays
     unless a document with one has the same shingles.
     """
+    release(spark)
     return jaccard.representatives(docs)
 
 
@@ -42,6 +46,7 @@ def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own; rows of a source without words stay once; rows with equal doc_id share their fate.
     """
+    release(spark)
     return mixing.realised(docs)
 
 
@@ -50,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The encoder remembers less than by itself, as executors have grown in the stages before.
     """
+    release(spark)
     return bpe.digests(docs, bpe.Params(memory=16 << 20, together=1 << 20, keep=False))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signpath.durable import discard, shared_dir, stored
 
-__all__ = ["FOLDS", "bounded_sample", "discard", "free_name", "held_out", "quoted", "remainder", "shared_dir", "stored", "table"]
+__all__ = ["FOLDS", "bounded_sample", "discard", "free_name", "held_out", "quoted", "release", "remainder", "shared_dir", "stored", "table"]
 
 #: Rows whose crc32 has this remainder are never learnt from.
 FOLDS = 5
@@ -35,6 +35,16 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataF
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) < share)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect garbage, after which they give most of their free heap back to the system.
+
+    A heap grows with one stage and would keep its size beside the Python processes of the next. There are two short tasks a core, so that
+    every executor gets some.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -683,3 +683,14 @@ def test_pipeline_of_empty_tables(spark, corpus, labels, tmp_path):
     corpus.drop("score", "component_id").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_heaps_given_back(spark, corpus, labels, tmp_path, monkeypatch):
+    from signpath.llm import pipeline, shared
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    calls = []
+    monkeypatch.setattr(pipeline, "release", lambda s: calls.append(s) or shared.release(s))
+    for _, stage in pipeline.STAGES:
+        stage(spark, corpus, str(tmp_path))
+    assert calls == [spark] * len(pipeline.STAGES)
