@@ -685,6 +685,30 @@ def test_pipeline_of_empty_tables(spark, corpus, labels, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_forest_and_threshold_come_from_all_rows(spark, monkeypatch):
+    """No row outside the held-out fold is left out: labels beyond any bound move the threshold, and it is that of sorting all scores."""
+    from signpath.llm import shared
+
+    def fail(*_):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(shared, "bounded_sample", fail)
+    monkeypatch.setattr(rules, "bounded_sample", fail, raising=False)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(20, 60))) if i % 3 else " ".join(rng.choice(["##", "A1%", f"W{i}"]) for _ in range(15)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    p = rules.Params(trees=4, tree_rows=16, sorted_scores=5, max_false_reject=0.05)
+    m = rules.fit(docs, labels, p)
+    got = [(r.doc_id, r.anomaly) for r in rules.judge(docs, m).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and not r.base_failed]
+    good = sorted((x for i, x in got if i % 3), reverse=True)
+    floor = good[int(0.05 * len(good))]
+    assert m.threshold == (floor + min(x for i, x in got if i % 3 == 0 and x > floor)) / 2
+    scores = spark.createDataFrame([(x,) for x in good + good[:7] + [good[0]] * 20], "score double")
+    ordered = sorted(good + good[:7] + [good[0]] * 20, reverse=True)
+    assert [rules.ranked_score(scores, k, 5) for k in (0, 19, 21, 40, len(ordered) - 1)] == [ordered[k] for k in (0, 19, 21, 40, len(ordered) - 1)]
+
+
 def test_stages_begin_with_heaps_given_back(spark, corpus, labels, tmp_path, monkeypatch):
     from signpath.llm import pipeline, shared
 
