@@ -19,6 +19,8 @@ from signpath import durable
 from signpath.durable import rows_of
 from signpath.shipping import ship
 
+from . import kernels
+
 #: Graphs of at most so many edges are sent to tasks as arrays, 10 bytes an edge and 24 a vertex.
 IN_TASK_EDGES = 4_000_000
 #: Half paths that are extended at once in a task.
@@ -35,6 +37,8 @@ class Graph:
     ids: np.ndarray
     forward: tuple[np.ndarray, np.ndarray, np.ndarray]
     backward: tuple[np.ndarray, np.ndarray, np.ndarray]
+    _order: np.ndarray | None = None
+    _rank: np.ndarray | None = None
 
     @staticmethod
     def of(src: np.ndarray, dst: np.ndarray, sgn: np.ndarray) -> Graph:
@@ -51,6 +55,20 @@ class Graph:
     def n(self) -> int:
         return len(self.ids)
 
+    def order(self) -> np.ndarray:
+        """A number for each vertex's strong component; arcs lead to equal or larger ones."""
+        if self._order is None:
+            self._order = _component_order(self.forward)
+        return self._order
+
+    def rank(self) -> np.ndarray:
+        """The vertices' ranks, see ``graph.ranked``."""
+        if self._rank is None:
+            degrees = np.diff(self.forward[0]) * np.diff(self.backward[0])
+            self._rank = np.empty(self.n, np.int64)
+            self._rank[np.lexsort((self.ids, -degrees))] = np.arange(1, self.n + 1)
+        return self._rank
+
     def walks(self, arcs: tuple, hops: int) -> np.ndarray:
         """Number of walks of so many hops from each vertex."""
         ptr, to, _ = arcs
@@ -60,15 +78,59 @@ class Graph:
         return out
 
 
+def _component_order(arcs: tuple) -> np.ndarray:
+    """Strong components in topological order, by depth-first search with low points (Tarjan) and an explicit stack."""
+    ptr, to = arcs[0].tolist(), arcs[1].tolist()
+    n, clock, done = len(ptr) - 1, 0, 0
+    number, low, comp, at = [-1] * n, [0] * n, [-1] * n, ptr[:-1]
+    for root in range(n):
+        if number[root] >= 0:
+            continue
+        number[root] = low[root] = clock
+        clock += 1
+        trail, stack = [root], [root]
+        while stack:
+            v = stack[-1]
+            i, end = at[v], ptr[v + 1]
+            while i < end:
+                w = to[i]
+                i += 1
+                if number[w] < 0:
+                    number[w] = low[w] = clock
+                    clock += 1
+                    trail.append(w)
+                    stack.append(w)
+                    break
+                if comp[w] < 0 and number[w] < low[v]:
+                    low[v] = number[w]
+            else:
+                stack.pop()
+                if stack and low[v] < low[stack[-1]]:
+                    low[stack[-1]] = low[v]
+                if low[v] == number[v]:
+                    while comp[v] < 0:
+                        comp[trail.pop()] = done
+                    done += 1
+            at[v] = i
+    # Components are closed after all that they lead to.
+    return done - 1 - np.array(comp, np.int64)
+
+
 def extend(arcs: tuple, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, target, sign) of every arc from the vertices ``v``, in order, some rows at a time."""
-    ptr, to, sign = arcs
+    _, to, sign = arcs
+    for row, at in places(arcs, v):
+        yield row, to[at], sign[at]
+
+
+def places(arcs: tuple, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place of the arc) of every arc from the vertices ``v``, in order, some rows at a time."""
+    ptr = arcs[0]
     deg = ptr[v + 1] - ptr[v]
     for lo, hi in spans(deg, ROWS):
         d = deg[lo:hi]
         row = np.repeat(np.arange(lo, hi), d)
-        at = np.arange(len(row)) + np.repeat(ptr[v[lo:hi]] - (np.cumsum(d) - d), d)
-        yield row, to[at], sign[at]
+        yield row, np.arange(len(row)) + np.repeat(ptr[v[lo:hi]] - (np.cumsum(d) - d), d)
 
 
 def spans(cost: np.ndarray, bound: float) -> Iterator[tuple[int, int]]:
@@ -412,6 +474,153 @@ def cut_guided(g: Graph, queries: Batch, k: int) -> np.ndarray:
     return _by_rounds(queries, k, one)
 
 
+def between(g: Graph, some: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place of a forward arc), sorted: at least all arcs on walks of the query's sign from s to t of at most k edges.
+
+    Walks neither come back to s nor go on from t. Half of the hops go by balls, the others only through what reaches t in those that remain.
+    """
+    half = (k + 1) // 2
+    rest = ball(g, g.backward, some.t, k - half)
+    ptr, to, positive = g.forward
+    now = key(g, np.arange(len(some)), some.s, np.ones(len(some), np.int64))
+    seen, states, depth, arcs = now, [now], [np.zeros(len(now), np.int8)], []
+    for d in range(k):
+        of, v, par = (now >> 1) // g.n, (now >> 1) % g.n, (now & 1).astype(bool)
+        on = np.flatnonzero(v != some.t[of])
+        found = []
+        for row, at in places(g.forward, v[on]):
+            row = on[row]
+            w, own, p = to[at], of[row], par[row] == positive[at]
+            asked = p == some.sigma[own]
+            ok = np.flatnonzero((w != some.s[own]) & (asked | (w != some.t[own])))
+            if d + 1 >= half:
+                known, where = rest.find(key(g, own[ok], w[ok], asked[ok]))
+                ok = ok[known[rest.value[where] <= k - d - 1]]
+            to_state = key(g, own[ok], w[ok], p[ok])
+            arcs.append((now[row[ok]], to_state, at[ok]))
+            fresh = distinct(to_state)
+            found.append(fresh[~_has(seen, fresh)])
+        now = distinct(np.concatenate(found)) if found else now[:0]
+        if not len(now):
+            break
+        states.append(now)
+        depth.append(np.full(len(now), d + 1, np.int8))
+        seen = np.sort(np.concatenate([seen, now]))
+    if not arcs:
+        return now[:0], now[:0]
+    one, two, at = (np.concatenate(x) for x in zip(*arcs, strict=True))
+    order = np.argsort(np.concatenate(states))
+    depth = np.concatenate(depth)[order]
+    # Hops that remain from each state: known within the backward ball, and told back along the arcs beyond it.
+    own, v, par = (seen >> 1) // g.n, (seen >> 1) % g.n, (seen & 1).astype(bool)
+    left = np.full(len(seen), 100, np.int8)
+    known, where = rest.find(key(g, own, v, par == some.sigma[own]))
+    left[known] = rest.value[where]
+    one, two = np.searchsorted(seen, one), np.searchsorted(seen, two)
+    for _ in range(half):
+        np.minimum.at(left, one, left[two] + np.int8(1))
+    good = np.flatnonzero(depth[one].astype(np.int64) + 1 + left[two] <= k)
+    m = len(to)
+    both = distinct(own[one[good]] * m + at[good])
+    return both // m, both % m
+
+
+def _each(g: Graph, some: Batch, k: int) -> Iterator[tuple[int, list[tuple[int, int, int]], int, int, int]]:
+    """(query, arcs, s, t, sigma) of the queries that have any arcs ``between`` their ends."""
+    of, at = between(g, some, k)
+    ptr, to, positive = g.forward
+    src = np.searchsorted(ptr, at, side="right") - 1
+    rows = list(zip(src.tolist(), to[at].tolist(), positive[at].astype(int).tolist(), strict=True))
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+    own = of[begin]
+    ends = zip(own.tolist(), begin.tolist(), [*begin[1:].tolist(), len(of)], some.s[own].tolist(), some.t[own].tolist(), some.sigma[own].astype(int).tolist(), strict=True) if len(of) else ()
+    for q, lo, hi, s, t, sigma in ends:
+        yield q, rows[lo:hi], s, t, sigma
+
+
+def _each_bound(k: int, one: Callable[[list, int, int, int, int], bool]) -> Callable[[Graph, Batch], np.ndarray]:
+    """Searches of one query's arcs at a time, with growing hop bounds, so that most queries are answered over few arcs."""
+
+    def run(g: Graph, queries: Batch) -> np.ndarray:
+        hit = np.zeros(len(queries), bool)
+        for bound in range(min(2, k), k + 1):
+            left = np.flatnonzero(~hit)
+            if len(left):
+                for q, arcs, s, t, sigma in _each(g, queries.some(left), bound):
+                    hit[left[q]] = one(arcs, s, t, sigma, bound)
+        return hit
+
+    return run
+
+
+def branched(g: Graph, queries: Batch, k: int) -> np.ndarray:
+    """Which queries have a simple path of their sign, by branch and bound over shortest walks."""
+    return _each_bound(k, lambda *x: kernels.shortest_simple(*x) is not None)(g, queries)
+
+
+def blocked(g: Graph, queries: Batch, k: int) -> np.ndarray:
+    """Which queries have a simple path of their sign, from one biconnected block to the next, if the order of strong components allows it."""
+    order = g.order()
+    hit = np.zeros(len(queries), bool)
+    possible = np.flatnonzero(order[queries.s] <= order[queries.t])
+    hit[possible] = _each_bound(k, lambda *x: kernels.shortest_by_blocks(*x)[0] is not None)(g, queries.some(possible))
+    return hit
+
+
+def labelled(g: Graph, queries: Batch, k: int) -> np.ndarray:
+    """Outcome codes by the two-hop labels of both ends (see ``labels``): 1 a simple witness, -1 no common hub, else those of the cascade.
+
+    A query's labels are made from the arcs between its ends, where all of its simple paths lie.
+    """
+    stage, rank = np.full(len(queries), -1), g.rank()
+    for q, arcs, s, t, sigma in _each(g, queries, k):
+        stage[q] = _label_verdict(arcs, s, t, sigma, k, rank)
+    rest = np.flatnonzero(stage == 0)
+    if len(rest):
+        stage[rest] = KERNELS["cascade"](g, queries.some(rest), k)
+    return stage
+
+
+def _label_verdict(arcs: list[tuple[int, int, int]], s: int, t: int, sigma: int, k: int, rank: np.ndarray) -> int:
+    ahead: dict[int, list] = {}
+    back: dict[int, list] = {}
+    for a, b, g in arcs:
+        ahead.setdefault(a, []).append((b, g))
+        back.setdefault(b, []).append((a, g))
+    met = -1
+    for hub in {v for a, b, _ in arcs for v in (a, b)}:
+        into = _labels_of(ahead, hub, t, k, rank)
+        out = _labels_of(back, hub, s, k, rank) if into else {}
+        for p1, w1 in out.items():
+            for p2, w2 in into.items():
+                if int(p1 == p2) == sigma and len(w1) + len(w2) - 2 <= k:
+                    if len({*w1, *w2}) == len(w1) + len(w2) - 1:
+                        return 1
+                    met = 0
+    return met
+
+
+def _labels_of(near: dict[int, list], hub: int, end: int, k: int, rank: np.ndarray) -> dict[int, tuple]:
+    """Least shortest walk of each sign from ``hub`` to ``end`` through vertices of lower priority."""
+    level, known = {(hub, 1): (hub,)}, {(hub, 1)}
+    out = {1: (hub,)} if hub == end else {}
+    for _ in range(k):
+        new: dict[tuple, tuple] = {}
+        for (v, par), path in level.items():
+            for w, g in near.get(v, ()):
+                state = (w, int(par == g))
+                if rank[w] > rank[hub] and state not in known:
+                    new[state] = min(new.get(state, (*path, w)), (*path, w))
+        known |= new.keys()
+        for par in (0, 1):
+            if (end, par) in new:
+                out.setdefault(par, new[end, par])
+        level = new
+        if not level or len(out) == 2:
+            break
+    return out
+
+
 def _staged(exact: Callable[[Graph, Batch, int], np.ndarray]) -> Callable[[Graph, Batch, int], np.ndarray]:
     def run(g: Graph, queries: Batch, k: int) -> np.ndarray:
         stage = witnessed(g, queries, k)
@@ -436,6 +645,11 @@ KERNELS = {
     "cut_cascade": _staged(cut_guided),
 }
 
+#: Strategies that make a graph of each query's own arcs, and alternating segments: a half path inside a segment is a negative one.
+BY_QUERY = {
+    "branch_and_bound": branched,
+}
+
 
 def fits(edges: DataFrame, k: int, whole: bool = False) -> bool:
     """Whether the graph goes to tasks. With ``whole``, a task also has to hold all half paths into any vertex.
@@ -490,15 +704,16 @@ def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[
 
 def found(edges: DataFrame, queries: DataFrame, k: int, strategy: str) -> DataFrame:
     """(qid, stage): 1 for queries with a path, or the outcome code of each query for staged strategies."""
-    kernel, staged = KERNELS[strategy], strategy in ("cascade", "cut_cascade")
+    kernel, staged = (KERNELS | BY_QUERY)[strategy], strategy in ("cascade", "cut_cascade", "labels")
 
     def answer(g: Graph, some: Batch, qid: np.ndarray) -> list[np.ndarray]:
         got = kernel(g, some, k)
         return [qid, got.astype(np.int32)] if staged else [qid[got], np.ones(int(got.sum()), np.int32)]
 
     out = over_queries(edges, queries, k, answer, "qid long, stage int")
-    # Ends without edges have no walk.
-    return queries.select("qid").join(out, "qid", "left").select("qid", F.coalesce("stage", F.lit(-2)).alias("stage")) if staged else out
+    # Ends without edges have no walk and no hub.
+    none = F.lit(-1 if strategy == "labels" else -2)
+    return queries.select("qid").join(out, "qid", "left").select("qid", F.coalesce("stage", none).alias("stage")) if staged else out
 
 
 def counts_by_sign(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:

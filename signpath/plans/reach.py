@@ -47,7 +47,9 @@ def reach(edges: DataFrame, queries: DataFrame, k: int, strategy: str = "cascade
     k = max(k, 0)
     q = stored(classified(queries, vertex_count(edges)), "queries")
     open_ = q.where("decided is null").drop("decided")
-    if strategy == "balanced":
+    if strategy in intask.BY_QUERY and intask.fits(edges, k):
+        hit = intask.found(edges, open_.where("sigma = 1") if strategy == "balanced" else open_, k, strategy)
+    elif strategy == "balanced":
         hit = balanced.balanced_search(edges, open_.where("sigma = 1"), k).withColumn("stage", F.lit(1))
     elif strategy in intask.KERNELS and intask.fits(edges, k, whole=intask.KERNELS[strategy] is intask.halves):
         hit = intask.found(edges, open_, k, strategy)

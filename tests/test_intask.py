@@ -71,3 +71,44 @@ def test_no_level_goes_to_disk(spark, monkeypatch, strategy):
     monkeypatch.setattr(intask, "IN_TASK_EDGES", 0)
     assert {r.qid: (r.result, r.stage) for r in reach(e, q, 5, strategy).collect()} == got
     assert {"paths", "witness", "forward", "cut-paths"} & set(written)
+
+
+@pytest.mark.parametrize("rows", [5, 300_000])
+def test_kernels_of_own_arcs_follow_the_definition(monkeypatch, rows):
+    monkeypatch.setattr(intask, "ROWS", rows)
+    for edges, g in _graphs(6, 12):
+        asked, batch = _all_pairs(g)
+        for k in (1, 2, 3, 5, 6):
+            want = [any(par == x for par, _ in simple_paths(edges, g.ids[a], g.ids[b], k)) for a, b, x in asked]
+            for name, kernel in intask.BY_QUERY.items():
+                got, asks = list(kernel(g, batch, k) > 0), [x if name == "balanced" else True for _, _, x in asked]
+                assert [a for a, y in zip(got, asks, strict=True) if y] == [b for b, y in zip(want, asks, strict=True) if y], (name, k, edges)
+
+
+def test_component_order_and_ranks():
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (6, 0), (4, 5), (6, 5)]
+    g = intask.Graph.of(*(np.array(x) for x in zip(*edges, strict=True)), np.ones(len(edges), int))
+    order = g.order()
+    assert order[0] == order[1] == order[2] and order[3] == order[4] and len(set(order)) == 4
+    assert all(order[a] <= order[b] for a, b in edges)
+    n = 50_000
+    chain = np.arange(n)
+    assert list(intask.Graph.of(chain, chain + 1, np.ones(n, int)).order()) == list(range(n + 1))
+    assert list(g.rank()) == [1, 5, 2, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("strategy", list(intask.BY_QUERY))
+def test_own_arcs_go_neither_to_disk_nor_through_joins(spark, monkeypatch, strategy):
+    from signpath import durable
+    from signpath.operators import balanced, components, kernels, labels, paths
+
+    rng = random.Random(9)
+    edges = [(a, b, g) for a in range(9) for b in range(9) if a != b for g in (0, 1) if rng.random() < 0.12]
+    asked = [(9 * a + b, a, b, x) for a in range(10) for b in range(9) for x in [(a + b) % 2]]
+    e, q = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, QUERIES)
+    written, plain = [], durable.stored
+    for module in (durable, balanced, components, labels, paths):
+        monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or plain(df, name))
+    want = {i: -1 if strategy == "balanced" and x != 1 else answer(edges, s, t, x, 5, 9) for i, s, t, x in asked}
+    assert {r.qid: r.result for r in reach(e, q, 5, strategy).collect()} == want
+    assert not written
