@@ -648,6 +648,7 @@ KERNELS = {
 #: Strategies that make a graph of each query's own arcs, and alternating segments: a half path inside a segment is a negative one.
 BY_QUERY = {
     "branch_and_bound": branched,
+    "components": blocked,
 }
 
 
