@@ -649,6 +649,7 @@ KERNELS = {
 BY_QUERY = {
     "branch_and_bound": branched,
     "components": blocked,
+    "labels": labelled,
 }
 
 
