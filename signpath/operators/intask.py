@@ -650,6 +650,7 @@ BY_QUERY = {
     "branch_and_bound": branched,
     "components": blocked,
     "labels": labelled,
+    "balanced": guided,
 }
 
 
