@@ -19,8 +19,6 @@ from signpath import durable
 from signpath.durable import rows_of
 from signpath.shipping import ship
 
-from . import kernels
-
 #: Graphs of at most so many edges are sent to tasks as arrays, 10 bytes an edge and 24 a vertex.
 IN_TASK_EDGES = 4_000_000
 #: Half paths that are extended at once in a task.
@@ -555,11 +553,15 @@ def _each_bound(k: int, one: Callable[[list, int, int, int, int], bool]) -> Call
 
 def branched(g: Graph, queries: Batch, k: int) -> np.ndarray:
     """Which queries have a simple path of their sign, by branch and bound over shortest walks."""
+    from . import kernels  # which imports what imports this module
+
     return _each_bound(k, lambda *x: kernels.shortest_simple(*x) is not None)(g, queries)
 
 
 def blocked(g: Graph, queries: Batch, k: int) -> np.ndarray:
     """Which queries have a simple path of their sign, from one biconnected block to the next, if the order of strong components allows it."""
+    from . import kernels
+
     order = g.order()
     hit = np.zeros(len(queries), bool)
     possible = np.flatnonzero(order[queries.s] <= order[queries.t])
