@@ -2,13 +2,15 @@
 
 The strategies keep their tests; what differs from the joins in ``paths`` and ``cascade`` is where half paths live. A task holds the graph
 (``Graph``, both directions) and some queries at a time; levels beyond ``ROWS`` are searched slice by slice, depth first, so that
-memory is bounded and nothing is cut. Graphs of more than ``IN_TASK_EDGES`` edges are searched by joins.
+memory is bounded and nothing is cut. Queries come sorted by their targets, and what is built backwards from a target serves all queries
+of it in a batch (``Batch.targets``). Graphs of more than ``IN_TASK_EDGES`` edges are searched by joins.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from signpath.durable import rows_of
 from signpath.shipping import ship
 
 #: Graphs of at most so many edges are sent to tasks as arrays, 10 bytes an edge and 24 a vertex.
-IN_TASK_EDGES = 4_000_000
+IN_TASK_EDGES = 16_000_000
 #: Half paths that are extended at once in a task.
 ROWS = 300_000
 #: Strategies that hold all half paths of one end go by joins where a vertex has more of them than this.
@@ -37,15 +39,25 @@ class Graph:
     backward: tuple[np.ndarray, np.ndarray, np.ndarray]
     _order: np.ndarray | None = None
     _rank: np.ndarray | None = None
+    _walks: dict[tuple[bool, int], np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def of(src: np.ndarray, dst: np.ndarray, sgn: np.ndarray) -> Graph:
-        ids = np.unique(np.concatenate([src, dst]))
-        a, b = np.searchsorted(ids, src).astype(np.int32), np.searchsorted(ids, dst).astype(np.int32)
+        ids = np.union1d(np.unique(src), np.unique(dst))
+        n, a, b, positive = len(ids), _places(ids, src), _places(ids, dst), sgn == 1
 
         def side(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            order = np.lexsort((sgn, b, a))
-            return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(ids)))]).astype(np.int64), b[order], sgn[order] == 1
+            # In place, as the driver has little memory.
+            arcs = a.astype(np.int64)
+            arcs *= n
+            arcs += b
+            arcs *= 2
+            arcs += positive
+            arcs.sort()
+            to, sign = np.empty(len(a), np.int32), np.empty(len(a), bool)
+            for lo in range(0, len(a), ROWS):
+                to[lo : lo + ROWS], sign[lo : lo + ROWS] = (arcs[lo : lo + ROWS] >> 1) % n, arcs[lo : lo + ROWS] & 1
+            return np.searchsorted(arcs, np.arange(n + 1) * (2 * n)), to, sign
 
         return Graph(ids, side(a, b), side(b, a))
 
@@ -68,19 +80,32 @@ class Graph:
         return self._rank
 
     def walks(self, arcs: tuple, hops: int) -> np.ndarray:
-        """Number of walks of so many hops from each vertex."""
-        ptr, to, _ = arcs
-        out = np.ones(self.n)
-        for _ in range(hops):
-            out = np.diff(np.concatenate([[0.0], np.cumsum(out[to])])[ptr])
-        return out
+        """Number of walks of so many hops from each vertex, counted once for all batches of a process."""
+        at = (arcs is self.forward, hops)
+        if hops <= 0:
+            return np.ones(self.n)
+        if at not in self._walks:
+            ptr, to, _ = arcs
+            before, out = self.walks(arcs, hops - 1), np.empty(self.n)
+            for lo, hi in spans(np.diff(ptr), ROWS):
+                sums = np.concatenate([[0.0], np.cumsum(before[to[ptr[lo] : ptr[hi]]])])
+                out[lo:hi] = np.diff(sums[ptr[lo : hi + 1] - ptr[lo]])
+            self._walks[at] = out
+        return self._walks[at]
+
+
+def _places(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+    out = np.empty(len(of), np.int32)
+    for lo in range(0, len(of), ROWS):
+        out[lo : lo + ROWS] = np.searchsorted(ids, of[lo : lo + ROWS])
+    return out
 
 
 def _component_order(arcs: tuple) -> np.ndarray:
     """Strong components in topological order, by depth-first search with low points (Tarjan) and an explicit stack."""
-    ptr, to = arcs[0].tolist(), arcs[1].tolist()
+    ptr, to = array("q", arcs[0].astype(np.int64).tobytes()), array("i", arcs[1].astype(np.int32).tobytes())
     n, clock, done = len(ptr) - 1, 0, 0
-    number, low, comp, at = [-1] * n, [0] * n, [-1] * n, ptr[:-1]
+    number, low, comp, at = array("q", [-1]) * n, array("q", [0]) * n, array("q", [-1]) * n, ptr[:-1]
     for root in range(n):
         if number[root] >= 0:
             continue
@@ -111,7 +136,7 @@ def _component_order(arcs: tuple) -> np.ndarray:
                     done += 1
             at[v] = i
     # Components are closed after all that they lead to.
-    return done - 1 - np.array(comp, np.int64)
+    return done - 1 - np.array(comp)
 
 
 def extend(arcs: tuple, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -153,8 +178,8 @@ class Table:
     """Sorted keys with a value each; marks rule most other keys out before the search."""
 
     def __init__(self, keys: np.ndarray, value: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.value = keys[order], value[order]
+        """``keys`` are sorted already."""
+        self.keys, self.value = keys, value
         self.marks = np.zeros(1 << _MARKS, bool)
         self.marks[_mark(self.keys)] = True
 
@@ -185,6 +210,10 @@ class Batch:
     def some(self, rows: np.ndarray) -> Batch:
         return Batch(self.s[rows], self.t[rows], self.sigma[rows])
 
+    def targets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different targets, and the place of each query's own among them."""
+        return np.unique(self.t, return_inverse=True)
+
     def __len__(self) -> int:
         return len(self.s)
 
@@ -194,27 +223,30 @@ def key(g: Graph, q: np.ndarray, v: np.ndarray, par: np.ndarray) -> np.ndarray:
 
 
 def ball(g: Graph, arcs: tuple, anchor: np.ndarray, hops: int, signed: bool = True) -> Table:
-    """Least number of hops of a walk of each sign from each query's anchor; without signs all are positive."""
-    q = np.arange(len(anchor))
-    now = key(g, q, anchor, np.ones(len(anchor), np.int64))
-    known, dist = now, np.zeros(len(now), np.int8)
-    seen = np.sort(now)
+    """Least number of hops of a walk of each sign from each anchor; without signs all are positive."""
+    now = key(g, np.arange(len(anchor)), anchor, np.ones(len(anchor), np.int64))
+    known, seen = [now << 7], now
     for d in range(1, hops + 1):
-        v, par = (now >> 1) % g.n, (now & 1).astype(bool)
-        of = (now >> 1) // g.n
-        found = []
-        for row, w, sign in extend(arcs, v):
-            some = distinct(key(g, of[row], w, (par[row] == sign) if signed else np.ones(len(w), np.int64)))
-            found.append(some[~_has(seen, some)])
+        v, par, of = (now >> 1) % g.n, (now & 1).astype(bool), (now >> 1) // g.n
+        found = [key(g, of[row], w, (par[row] == sign) if signed else np.ones(len(w), np.int64)) for row, w, sign in extend(arcs, v)]
         now = distinct(np.concatenate(found)) if found else now[:0]
-        known, dist = np.concatenate([known, now]), np.concatenate([dist, np.full(len(now), d, np.int8)])
-        seen = np.sort(np.concatenate([seen, now]))
-    return Table(known, dist)
+        if d < hops:
+            now = now[~_has(seen, now)]
+            seen = np.sort(np.concatenate([seen, now]))
+        known.append((now << 7) + d)
+    # A state's least distance comes first.
+    states = np.sort(np.concatenate(known))
+    first = np.concatenate([[True], states[1:] >> 7 != states[:-1] >> 7]) if len(states) else np.zeros(0, bool)
+    states = states[first]
+    return Table(states >> 7, (states & 127).astype(np.int8))
 
 
 def rounds(k: int) -> list[int]:
-    """Hop bounds of the rounds; queries that are answered within few hops never see larger balls."""
-    return [b for b in (2, 4, 6, 8) if b < k] + [k]
+    """Hop bounds of the rounds; queries that are answered within few hops never see larger balls.
+
+    Up to five hops two are walked from each source, so that most of the work is the targets', which queries share.
+    """
+    return [2, *range(5, k), k] if k > 2 else [k]
 
 
 def _by_rounds(queries: Batch, k: int, one: Callable[[Batch, int], np.ndarray]) -> np.ndarray:
@@ -261,14 +293,14 @@ def guided(g: Graph, queries: Batch, k: int, signed: bool = True) -> np.ndarray:
     """Which queries have a simple path of their sign, by half paths from s that can still reach t within the remaining hops."""
 
     def one(some: Batch, bound: int) -> np.ndarray:
-        half = (bound + 1) // 2
-        rest = ball(g, g.backward, some.t, bound - half, signed)
+        half, (anchors, place) = bound // 2, some.targets()
+        rest = ball(g, g.backward, anchors, bound - half, signed)
         hit = np.zeros(len(some), bool)
 
         def fits(d, q, w, par, path, row):
             if d < half:
                 return np.arange(len(w))
-            at, where = rest.find(key(g, q, w, (par == some.sigma[q]) if signed else np.ones(len(w), np.int64)))
+            at, where = rest.find(key(g, place[q], w, (par == some.sigma[q]) if signed else np.ones(len(w), np.int64)))
             return at[rest.value[where] <= bound - d]
 
         _descend(g, g.forward, some, bound, fits, hit)
@@ -277,14 +309,15 @@ def guided(g: Graph, queries: Batch, k: int, signed: bool = True) -> np.ndarray:
     return _by_rounds(queries, k, one)
 
 
-def _levels(g: Graph, arcs: tuple, start: np.ndarray, stop: np.ndarray, hops: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(query, sign, path) of all simple half paths of 0, 1, .. hops that don't go on from ``stop``."""
+def _levels(g: Graph, arcs: tuple, start: np.ndarray, hops: int, stop: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(place of the start, sign, path) of all simple half paths of 0, 1, .. hops that don't go on from ``stop``."""
     q, par, path = np.arange(len(start)), np.ones(len(start), bool), [start.astype(np.int32)]
     yield q, par, path
     for _ in range(hops):
         found = []
-        on = np.flatnonzero(path[-1] != stop[q])
-        q, par, path = q[on], par[on], [x[on] for x in path]
+        if stop is not None:
+            on = np.flatnonzero(path[-1] != stop[q])
+            q, par, path = q[on], par[on], [x[on] for x in path]
         for row, w, sign in extend(arcs, path[-1]):
             good = np.ones(len(w), bool)
             for x in path:
@@ -295,14 +328,20 @@ def _levels(g: Graph, arcs: tuple, start: np.ndarray, stop: np.ndarray, hops: in
         yield q, par, path
 
 
-def _met(g: Graph, queries: Batch, size: int, ahead: tuple, back: tuple, signed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, sign) of each simple path of ``size`` edges: a half path, one more edge, and a half path that ends in t.
+def _split(size: int) -> tuple[int, int]:
+    """Edges of the half paths from both ends that make up paths of ``size`` edges, with one between them; targets get more, as queries share them."""
+    back = min((size + 1) // 2, size - 1)
+    return size - 1 - back, back
+
+
+def _met(g: Graph, queries: Batch, place: np.ndarray, ahead: tuple, back: tuple, signed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, sign) of each simple path that is a half path of ``ahead``, one more edge, and a half path of ``back``, which ends in t.
 
-    ``ahead`` are half paths of (size - 1) // 2 edges, ``back`` those of size // 2. With ``signed``, only paths of the query's sign.
+    ``back`` goes by the places of the targets, and may pass s; such paths don't fit any of ``ahead``. With ``signed``, only paths of the query's sign.
     """
     bq, bpar, bpath = back
     keys = key(g, bq, bpath[-1], bpar if signed else np.zeros(len(bq), np.int64))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     known = distinct(keys)
     table = Table(known, known)
@@ -311,7 +350,7 @@ def _met(g: Graph, queries: Batch, size: int, ahead: tuple, back: tuple, signed:
     q, par, path = q[inner], par[inner], [x[inner] for x in path]
     for row, w, sign in extend(g.forward, path[-1]):
         own, p = q[row], par[row] == sign
-        mine = key(g, own, w, (p == queries.sigma[own]) if signed else np.zeros(len(w), np.int64))
+        mine = key(g, place[own], w, (p == queries.sigma[own]) if signed else np.zeros(len(w), np.int64))
         ok, _ = table.find(mine)
         good = np.ones(len(ok), bool)
         for x in path:
@@ -339,10 +378,11 @@ def halves(g: Graph, queries: Batch, k: int) -> np.ndarray:
         left = np.flatnonzero(~hit)
         if not len(left):
             break
-        some = queries.some(left)
-        *_, ahead = _levels(g, g.forward, some.s, some.t, (size + 1) // 2 - 1)
-        *_, back = _levels(g, g.backward, some.t, some.s, size // 2)
-        for q, _ in _met(g, some, size, ahead, back, True):
+        some, (one, two) = queries.some(left), _split(size)
+        anchors, place = some.targets()
+        *_, ahead = _levels(g, g.forward, some.s, one, some.t)
+        *_, back = _levels(g, g.backward, anchors, two)
+        for q, _ in _met(g, some, place, ahead, back, True):
             hit[left[q]] = True
     return hit
 
@@ -350,10 +390,11 @@ def halves(g: Graph, queries: Batch, k: int) -> np.ndarray:
 def counts(g: Graph, queries: Batch, k: int) -> np.ndarray:
     """How many simple paths each query has, by length from 1 and sign (negative, positive)."""
     out = np.zeros((len(queries), k, 2), np.int64)
-    ahead = list(_levels(g, g.forward, queries.s, queries.t, max((k + 1) // 2 - 1, 0)))
-    back = list(_levels(g, g.backward, queries.t, queries.s, k // 2))
-    for size in range(1, k + 1):
-        for q, par in _met(g, queries, size, ahead[(size + 1) // 2 - 1], back[size // 2], False):
+    (anchors, place), splits = queries.targets(), [_split(size) for size in range(1, k + 1)]
+    ahead = list(_levels(g, g.forward, queries.s, max(one for one, _ in splits), queries.t))
+    back = list(_levels(g, g.backward, anchors, max(two for _, two in splits)))
+    for size, (one, two) in enumerate(splits, 1):
+        for q, par in _met(g, queries, place, ahead[one], back[two], False):
             np.add.at(out, (q, size - 1, par.astype(np.int64)), 1)
     return out
 
@@ -369,8 +410,8 @@ def witnessed(g: Graph, queries: Batch, k: int) -> np.ndarray:
 
 
 def _witnessed(g: Graph, some: Batch, k: int) -> np.ndarray:
-    half = (k + 1) // 2
-    rest = ball(g, g.backward, some.t, k - half)
+    half, (anchors, place) = k // 2, some.targets()
+    rest = ball(g, g.backward, anchors, k - half)
     stage = np.full(len(some), -2)
     # Rows stay in order of their paths, so that the first row of a state has its least path. Parallel arcs of both signs give equal paths.
     q, v, par = np.arange(len(some)), some.s, np.ones(len(some), bool)
@@ -383,7 +424,7 @@ def _witnessed(g: Graph, some: Batch, k: int) -> np.ndarray:
             row = on[row]
             own, p = q[row], par[row] == sign
             if d >= half:
-                at, where = rest.find(key(g, own, w, p == some.sigma[own]))
+                at, where = rest.find(key(g, place[own], w, p == some.sigma[own]))
                 ok = at[rest.value[where] <= k - d]
                 row, w, p, own = row[ok], w[ok], p[ok], own[ok]
             state = key(g, own, w, p)
@@ -477,8 +518,8 @@ def between(g: Graph, some: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     Walks neither come back to s nor go on from t. Half of the hops go by balls, the others only through what reaches t in those that remain.
     """
-    half = (k + 1) // 2
-    rest = ball(g, g.backward, some.t, k - half)
+    half, (anchors, place) = k // 2, some.targets()
+    rest = ball(g, g.backward, anchors, k - half)
     ptr, to, positive = g.forward
     now = key(g, np.arange(len(some)), some.s, np.ones(len(some), np.int64))
     seen, states, depth, arcs = now, [now], [np.zeros(len(now), np.int8)], []
@@ -492,7 +533,7 @@ def between(g: Graph, some: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
             asked = p == some.sigma[own]
             ok = np.flatnonzero((w != some.s[own]) & (asked | (w != some.t[own])))
             if d + 1 >= half:
-                known, where = rest.find(key(g, own[ok], w[ok], asked[ok]))
+                known, where = rest.find(key(g, place[own[ok]], w[ok], asked[ok]))
                 ok = ok[known[rest.value[where] <= k - d - 1]]
             to_state = key(g, own[ok], w[ok], p[ok])
             arcs.append((now[row[ok]], to_state, at[ok]))
@@ -512,7 +553,7 @@ def between(g: Graph, some: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     # Hops that remain from each state: known within the backward ball, and told back along the arcs beyond it.
     own, v, par = (seen >> 1) // g.n, (seen >> 1) % g.n, (seen & 1).astype(bool)
     left = np.full(len(seen), 100, np.int8)
-    known, where = rest.find(key(g, own, v, par == some.sigma[own]))
+    known, where = rest.find(key(g, place[own], v, par == some.sigma[own]))
     left[known] = rest.value[where]
     one, two = np.searchsorted(seen, one), np.searchsorted(seen, two)
     for _ in range(half):
@@ -663,48 +704,89 @@ def fits(edges: DataFrame, k: int, whole: bool = False) -> bool:
     """
     if durable._tallies or k < 1 or not 0 < rows_of(edges) <= IN_TASK_EDGES:
         return False
-    if not whole:
-        return True
-    g = _broadcast(edges).value
-    return g.walks(g.backward, k // 2).max() <= MOST_HALVES
+    return not whole or _most_walks(edges, _split(k)[1]) <= MOST_HALVES
+
 
+_sent: dict[tuple, tuple] = {}
+#: Walks into vertices are counted for so many hops before a graph is sent.
+_COUNTED = 5
 
-_sent: dict[tuple, object] = {}
+
+def _most_walks(edges: DataFrame, hops: int) -> float:
+    """Most walks of so many hops into a vertex."""
+    sent, most = _made(edges)
+    if hops < len(most):
+        return most[hops]
+    g = sent.value
+    return g.walks(g.backward, hops).max()
 
 
 def _broadcast(edges: DataFrame):
+    return _made(edges)[0]
+
+
+def _made(edges: DataFrame) -> tuple:
+    """The graph as a broadcast, and the most walks of 0, 1, .. hops into a vertex."""
     sc = edges.sparkSession.sparkContext
     at = (sc.applicationId, getattr(edges, "_stored_at", None))
-    sent = _sent.get(at) if at[1] else None
-    if sent is None:
-        rows = edges.select("src", "dst", "sgn").toArrow()
-        sent = sc.broadcast(Graph.of(*(rows.column(i).to_numpy() for i in range(3))))
+    made = _sent.get(at) if at[1] else None
+    if made is None:
+        g = Graph.of(*_collected(edges))
+        most = [float(g.walks(g.backward, h).max(initial=0)) for h in range(_COUNTED + 1)]
+        g._walks.clear()
+        made = sc.broadcast(g), most
         if at[1]:
-            _sent[at] = sent
-    return sent
+            _sent[at] = made
+    return made
+
 
+def _collected(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sources, targets and signs; 8 bytes an edge come to the driver where vertices have at most 31 bits, else 20."""
+    low, high = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+    if low is None or low < 0 or high >= 1 << 31:
+        rows = edges.select("src", "dst", "sgn").toArrow()
+        return tuple(rows.column(i).to_numpy() for i in range(3))
+    packed = F.shiftleft(F.col("src").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("dst").cast("bigint"), 1)).bitwiseOR((F.col("sgn") == 1).cast("bigint"))
+    arcs = edges.select(packed.alias("arc")).toArrow().column(0).to_numpy()
+    src, dst, sgn = np.empty(len(arcs), np.int32), np.empty(len(arcs), np.int32), np.empty(len(arcs), np.int8)
+    for lo in range(0, len(arcs), ROWS):
+        some = arcs[lo : lo + ROWS]
+        src[lo : lo + ROWS], dst[lo : lo + ROWS], sgn[lo : lo + ROWS] = some >> 32, (some >> 1) & ((1 << 31) - 1), some & 1
+    return src, dst, sgn
 
-def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[[Graph, Batch, np.ndarray], dict], schema: str) -> DataFrame:
-    """``answer`` gets the graph, queries whose ends have edges, and their qids, some queries at a time; the least and most work are bounded by ``ROWS``."""
+
+def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[[Graph, Batch, np.ndarray], list], schema: str, apart: Callable[[np.ndarray], list] | None = None) -> DataFrame:
+    """``answer`` gets the graph, queries whose ends have edges, and their qids, some queries at a time; the least and most work are bounded by ``ROWS``.
+
+    ``apart`` gets the qids of the other queries. Queries are sorted by target; ranges also go by qid, so that a target of many queries is dealt too.
+    """
     ship(edges.sparkSession)
     sent = _broadcast(edges)
     parts = max(edges.sparkSession.sparkContext.defaultParallelism * 4, rows_of(queries) // 20_000 + 1)
-    half = (k + 1) // 2
+    ahead, back = max(k // 2 - 1, 0), k - k // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
-        near, far = g.walks(g.forward, half - 1), g.walks(g.backward, k - half)
+        near, far = g.walks(g.forward, ahead), g.walks(g.backward, back)
         for whole in batches:
             qid, s, t, sigma = (whole.column(i).to_numpy() for i in range(4))
-            known = np.flatnonzero(_has(g.ids, s) & _has(g.ids, t))
+            inside = _has(g.ids, s) & _has(g.ids, t)
+            known = np.flatnonzero(inside)
+            if apart and len(known) < len(qid):
+                yield batch_of(apart(qid[~inside]))
             qid, s, t, sigma = qid[known], np.searchsorted(g.ids, s[known]), np.searchsorted(g.ids, t[known]), sigma[known] == 1
-            for lo, hi in spans(near[s] + far[t] + 1, ROWS):
+            fresh = np.append(True, t[1:] != t[:-1])[: len(t)]
+            for lo, hi in spans(near[s] + far[t] * fresh + 1, ROWS):
                 out = answer(g, Batch(s[lo:hi], t[lo:hi], sigma[lo:hi]), qid[lo:hi])
                 if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+                    yield batch_of(out)
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return queries.select("qid", "s", "t", F.col("sigma").cast("int").alias("sigma")).repartition(parts).mapInArrow(run, schema)
+    asked = queries.select("qid", "s", "t", F.col("sigma").cast("int").alias("sigma"))
+    return asked.repartitionByRange(parts, "t", "qid").sortWithinPartitions("t").mapInArrow(run, schema)
 
 
 def found(edges: DataFrame, queries: DataFrame, k: int, strategy: str) -> DataFrame:
@@ -715,10 +797,11 @@ def found(edges: DataFrame, queries: DataFrame, k: int, strategy: str) -> DataFr
         got = kernel(g, some, k)
         return [qid, got.astype(np.int32)] if staged else [qid[got], np.ones(int(got.sum()), np.int32)]
 
-    out = over_queries(edges, queries, k, answer, "qid long, stage int")
-    # Ends without edges have no walk and no hub.
-    none = F.lit(-1 if strategy == "labels" else -2)
-    return queries.select("qid").join(out, "qid", "left").select("qid", F.coalesce("stage", none).alias("stage")) if staged else out
+    def apart(qid: np.ndarray) -> list[np.ndarray]:
+        # Ends without edges have no walk and no hub.
+        return [qid, np.full(len(qid), -1 if strategy == "labels" else -2, np.int32)]
+
+    return over_queries(edges, queries, k, answer, "qid long, stage int", apart if staged else None)
 
 
 def counts_by_sign(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
