@@ -44,12 +44,14 @@ def running(df: DataFrame, value: Column, order: list[Column], name: str) -> Dat
     Rows are sorted into ranges and stored; sums within a range are added to the sums of the ranges before it, one number a range.
     """
     own = df.columns
-    rows = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("value", value.cast("bigint")), "ranges")
-    rows = rows.withColumn("range", F.shiftrightunsigned("at", 33))
+    ranges = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("value", value.cast("bigint")), "ranges")
+    rows = ranges.withColumn("range", F.shiftrightunsigned("at", 33))
     sums = rows.groupBy("range").agg(F.sum("value").alias("sum"))
     before = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
     inside = F.sum("value").over(Window.partitionBy("range").orderBy("at"))
-    return rows.withColumn("inside", inside).join(F.broadcast(before), "range").select(*own, (F.col("inside") + F.col("before")).cast("bigint").alias(name))
+    out = rows.withColumn("inside", inside).join(F.broadcast(before), "range").select(*own, (F.col("inside") + F.col("before")).cast("bigint").alias(name))
+    out._spent = ranges
+    return out
 
 
 def ranked(edges: DataFrame) -> DataFrame:

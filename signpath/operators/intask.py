@@ -755,10 +755,10 @@ def _collected(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return src, dst, sgn
 
 
-def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[[Graph, Batch, np.ndarray], list], schema: str, apart: Callable[[np.ndarray], list] | None = None) -> DataFrame:
+def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[[Graph, Batch, np.ndarray], list], schema: str, apart: Callable[..., list] | None = None) -> DataFrame:
     """``answer`` gets the graph, queries whose ends have edges, and their qids, some queries at a time; the least and most work are bounded by ``ROWS``.
 
-    ``apart`` gets the qids of the other queries. Queries are sorted by target; ranges also go by qid, so that a target of many queries is dealt too.
+    ``apart`` gets the other queries. Queries are sorted by target; ranges also go by qid, so that a target of many queries is dealt too.
     """
     ship(edges.sparkSession)
     sent = _broadcast(edges)
@@ -773,7 +773,7 @@ def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[
             inside = _has(g.ids, s) & _has(g.ids, t)
             known = np.flatnonzero(inside)
             if apart and len(known) < len(qid):
-                yield batch_of(apart(qid[~inside]))
+                yield batch_of(apart(*(x[~inside] for x in (qid, s, t, sigma))))
             qid, s, t, sigma = qid[known], np.searchsorted(g.ids, s[known]), np.searchsorted(g.ids, t[known]), sigma[known] == 1
             fresh = np.append(True, t[1:] != t[:-1])[: len(t)]
             for lo, hi in spans(near[s] + far[t] * fresh + 1, ROWS):
@@ -785,23 +785,26 @@ def over_queries(edges: DataFrame, queries: DataFrame, k: int, answer: Callable[
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    asked = queries.select("qid", "s", "t", F.col("sigma").cast("int").alias("sigma"))
+    asked = queries.select(*(F.col(c).cast("bigint").alias(c) for c in ("qid", "s", "t")), F.col("sigma").cast("int").alias("sigma"))
     return asked.repartitionByRange(parts, "t", "qid").sortWithinPartitions("t").mapInArrow(run, schema)
 
 
 def found(edges: DataFrame, queries: DataFrame, k: int, strategy: str) -> DataFrame:
-    """(qid, stage): 1 for queries with a path, or the outcome code of each query for staged strategies."""
+    """(qid, s, t, sigma, stage) of each query: 1 with a path and 0 without, or the outcome code for staged strategies.
+
+    Rows come from the tasks whole, so that answers aren't joined to their queries.
+    """
     kernel, staged = (KERNELS | BY_QUERY)[strategy], strategy in ("cascade", "cut_cascade", "labels")
 
     def answer(g: Graph, some: Batch, qid: np.ndarray) -> list[np.ndarray]:
-        got = kernel(g, some, k)
-        return [qid, got.astype(np.int32)] if staged else [qid[got], np.ones(int(got.sum()), np.int32)]
+        return [qid, g.ids[some.s].astype(np.int64), g.ids[some.t].astype(np.int64), some.sigma.astype(np.int32), kernel(g, some, k).astype(np.int32)]
 
-    def apart(qid: np.ndarray) -> list[np.ndarray]:
+    def apart(qid: np.ndarray, s: np.ndarray, t: np.ndarray, sigma: np.ndarray) -> list[np.ndarray]:
         # Ends without edges have no walk and no hub.
-        return [qid, np.full(len(qid), -1 if strategy == "labels" else -2, np.int32)]
+        return [qid, s, t, sigma, np.full(len(qid), (-1 if strategy == "labels" else -2) if staged else 0, np.int32)]
 
-    return over_queries(edges, queries, k, answer, "qid long, stage int", apart if staged else None)
+    out = over_queries(edges, queries, k, answer, "qid long, s long, t long, sigma int, stage int", apart)
+    return out.select(*(F.col(c).cast(queries.schema[c].dataType).alias(c) for c in ("qid", "s", "t", "sigma")), "stage")
 
 
 def counts_by_sign(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from signpath.durable import counted, stored
+from signpath.durable import counted, discard, stored
 from signpath.functions.signs import product
 from signpath.sources.text import numbered
 
@@ -24,7 +24,11 @@ def _once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> Dat
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             old = None
     if old is None:
-        old = _made[key] = counted(make(), "derived")
+        new = make()
+        old = _made[key] = counted(new, "derived")
+        # What it was made from by ranges.
+        if hasattr(new, "_spent"):
+            discard(new._spent)
     return old
 
 
@@ -34,11 +38,14 @@ def succession(rows: DataFrame, vertex: str, order: list[str], positive) -> Data
     Rows are sorted into ranges; the last row of a range is followed by the first of the next, one row a range.
     """
     sorted_ = rows.select(F.col(vertex).cast("bigint").alias("src"), F.when(positive, 1).otherwise(0).alias("sgn"), *order).orderBy(*order)
-    at = stored(sorted_.select("src", "sgn", F.monotonically_increasing_id().alias("at")), "sorted").withColumn("range", F.shiftrightunsigned("at", 33))
+    ranges = stored(sorted_.select("src", "sgn", F.monotonically_increasing_id().alias("at")), "sorted")
+    at = ranges.withColumn("range", F.shiftrightunsigned("at", 33))
     firsts = at.groupBy("range").agg(F.min_by("src", "at").alias("first"))
     follow = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("follow"))
     nxt = at.withColumn("dst", F.lead("src").over(Window.partitionBy("range").orderBy("at"))).join(F.broadcast(follow), "range")
-    return nxt.select("src", F.coalesce("dst", "follow").alias("dst"), "sgn").where("dst is not null and src <> dst").distinct()
+    out = nxt.select("src", F.coalesce("dst", "follow").alias("dst"), "sgn").where("dst is not null and src <> dst").distinct()
+    out._spent = ranges
+    return out
 
 
 def customer_graph(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
@@ -64,12 +71,18 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, ("part", sf_dir), lambda: nxt.where("dst is not null and src <> dst").distinct())
 
 
+def _queries(rows: DataFrame) -> DataFrame:
+    out = rows.select("qid", "s", "t", "sigma")
+    out._spent = rows._spent
+    return out
+
+
 def near(edges: DataFrame, whole: bool = False) -> DataFrame:
     """For one edge in twenty, or every edge, whether its ends are joined by a path of the other sign."""
 
     def make() -> DataFrame:
         some = (edges if whole else edges.where("(src * 7 + dst) % 20 = 1")).select(F.col("src").alias("s"), F.col("dst").alias("t"), (1 - F.col("sgn")).cast("int").alias("sigma"))
-        return numbered(some, "s", "t", "sigma").select("qid", "s", "t", "sigma")
+        return _queries(numbered(some, "s", "t", "sigma"))
 
     return _once(edges.sparkSession, ("near", edges._stored_at, whole), make)
 
@@ -85,7 +98,7 @@ def bent(edges: DataFrame) -> DataFrame:
         pairs = edges.select(F.col("src").alias("s"), F.col("dst").alias("m"), "sgn").join(on, "m").where("t <> s")
         least = pairs.groupBy("s", "m", "sgn").agg(F.min(F.struct("t", "g")).alias("x"))
         some = least.select("s", "m", "sgn", F.col("x.t").alias("t"), (1 - product(F.col("sgn"), F.col("x.g"))).cast("int").alias("sigma"))
-        return numbered(some, "s", "m", "sgn").select("qid", "s", "t", "sigma")
+        return _queries(numbered(some, "s", "m", "sgn"))
 
     return _once(edges.sparkSession, ("bent", edges._stored_at), make)
 
@@ -97,6 +110,6 @@ def far(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
         n = customers.count()
         some = (customers if whole else customers.where("c_custkey % 30 = 1")).select(F.col("c_custkey").cast("bigint").alias("s"), ((F.col("c_custkey") * 37 + 11) % n).cast("bigint").alias("t"), (F.col("c_custkey") % 2).cast("int").alias("sigma"))
-        return numbered(some.where("s <> t"), "s").select("qid", "s", "t", "sigma")
+        return _queries(numbered(some.where("s <> t"), "s"))
 
     return _once(spark, ("far", sf_dir, whole), make)

@@ -45,19 +45,21 @@ def reach(edges: DataFrame, queries: DataFrame, k: int, strategy: str = "cascade
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     k = max(k, 0)
-    q = stored(classified(queries, vertex_count(edges)), "queries")
+    q = classified(queries if hasattr(queries, "_stored_at") else stored(queries, "queries"), vertex_count(edges))
+    asks = F.col("decided").isNull() & (F.lit(strategy != "balanced") | (F.col("sigma") == 1))
     open_ = q.where("decided is null").drop("decided")
-    if strategy in intask.BY_QUERY and intask.fits(edges, k):
-        hit = intask.found(edges, open_.where("sigma = 1") if strategy == "balanced" else open_, k, strategy)
+    hit = None
+    if strategy in intask.BY_QUERY and intask.fits(edges, k) or strategy in intask.KERNELS and intask.fits(edges, k, whole=intask.KERNELS[strategy] is intask.halves):
+        searched = intask.found(edges, q.where(asks).drop("decided"), k, strategy).withColumn("decided", F.lit(None).cast("int"))
+        out = searched.unionByName(q.where(~asks).withColumn("stage", F.lit(None).cast("int")).select(*searched.columns))
     elif strategy == "balanced":
         hit = balanced.balanced_search(edges, open_.where("sigma = 1"), k).withColumn("stage", F.lit(1))
-    elif strategy in intask.KERNELS and intask.fits(edges, k, whole=intask.KERNELS[strategy] is intask.halves):
-        hit = intask.found(edges, open_, k, strategy)
     elif strategy in _found:
         hit = (_found[strategy](edges, open_, k) if k else open_.select("qid").limit(0)).withColumn("stage", F.lit(1))
     else:
         hit = _staged[strategy](edges, open_, k) if k else open_.select("qid", F.lit(-2).alias("stage"))
-    out = q.join(hit, "qid", "left")
+    if hit is not None:
+        out = q.join(hit, "qid", "left")
     result = F.when(F.lit(strategy == "balanced") & (F.col("sigma") != 1), -1).when(F.col("decided").isNotNull(), F.col("decided")).otherwise(F.coalesce((F.col("stage") > 0).cast("int"), F.lit(0)))
     stage = F.when(F.col("decided").isNotNull(), 0).when(F.lit(strategy in _staged), F.col("stage"))
     return out.select("qid", "s", "t", "sigma", result.cast("int").alias("result"), stage.cast("int").alias("stage"))

@@ -144,3 +144,19 @@ def test_collected_edges_are_whole(spark, far):
     g = intask.Graph.of(src, dst, sgn)
     ptr, to, sign = g.forward
     assert sorted((int(g.ids[v]), int(g.ids[to[i]]), int(sign[i])) for v in range(g.n) for i in range(ptr[v], ptr[v + 1])) == sorted(edges)
+
+
+@pytest.mark.parametrize("strategy", ["exhaustive", "cascade", "labels", "balanced"])
+def test_answers_come_without_joins_in_the_types_of_their_queries(spark, strategy):
+    from signpath.durable import stored
+
+    edges = [(0, 1, 1), (1, 2, 0), (2, 3, 1), (5, 6, 1)]
+    asked = [(i, s, t, x) for i, (s, t, x) in enumerate((s, t, x) for s in range(8) for t in (0, 2, 3, 4, 9) for x in (0, 1))]
+    e, q = spark.createDataFrame(edges, EDGES), stored(spark.createDataFrame(asked, "qid int, s int, t int, sigma int"), "asked")
+    got = reach(e, q, 4, strategy)
+    assert [got.schema[c].dataType for c in ("qid", "s", "t")] == [q.schema[c].dataType for c in ("qid", "s", "t")]
+    want = {i: -1 if strategy == "balanced" and x != 1 else answer(edges, s, t, x, 4, 7) for i, s, t, x in asked}
+    rows = got.collect()
+    assert len(rows) == len(asked) and {r.qid: r.result for r in rows} == want
+    assert {(r.qid, r.s, r.t, r.sigma) for r in rows} == set(asked)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
